@@ -79,7 +79,7 @@ def column_profile(df: DataFrame, rules: list[ColumnRule]) -> DataFrame:
             F.lit(rule.name).alias("columna"),
             F.count(F.lit(1)).alias("filas"),
             nulls.alias("nulos"),
-            F.coalesce(F.max(length), F.lit(0)).alias("largo_maximo"),
+            F.coalesce(F.max(length), F.lit(0)).cast("bigint").alias("largo_maximo"),
             too_long.alias("largos"),
             beyond.alias("fuera_de_rango"),
             ((nulls if rule.required else zero) + too_long + beyond).alias("violaciones"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame. Joins are over-estimated, never under."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:
