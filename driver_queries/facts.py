@@ -23,17 +23,13 @@ FROM sales s JOIN roles r ON r.cod_rol_erp = s.cod_vendedor_erp AND r.empresa_er
 GROUP BY 1""")
 def scd2_point_in_time(spark, folder):
     role = role_lookup(spark, folder)
-    # One row per seller, company and day is all the join has to see.
-    daily = sales(spark, folder).groupBy("cod_vendedor_erp", "empresa_erp", "fecha_sk").agg(
-        F.count("*").alias("n")
-    )
     dated = scd2.point_in_time(
-        daily, role.table, role.on, "fecha_sk", *VALIDITY,
+        sales(spark, folder).select("cod_vendedor_erp", "empresa_erp", "fecha_sk"), role.table, role.on, "fecha_sk", *VALIDITY,
         {"id_rol_historia": "id_rol_historia_fk"}, role.window, role.by_year,
     )
     return dated.filter(F.col("id_rol_historia_fk").isNotNull()).groupBy(
         F.year("fecha_sk").alias("anio")
-    ).agg(F.sum("n").alias("lineas"), F.countDistinct("id_rol_historia_fk").alias("roles"))
+    ).agg(F.count("*").alias("lineas"), F.countDistinct("id_rol_historia_fk").alias("roles"))
 
 
 @query("scd2_current", f"""

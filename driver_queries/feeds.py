@@ -70,10 +70,10 @@ WHERE (p_size <= 20 AND s_nationkey IN (0, 6, 9, 11) AND p_type IN ('PROMO', 'SM
    OR (p_size > 40 AND s_nationkey = 3)
 GROUP BY ALL""")
 def inventory_flatten(spark, folder):
-    stock = shipped(spark, folder).groupBy("l_partkey", "s_nationkey").agg(F.sum("cantidad").alias("q"))
+    stock = shipped(spark, folder)
     store = F.struct(
         F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("OCODBODEGA"),
-        F.col("q").cast("double").alias("OEXISTENCIA"),
+        F.col("cantidad").cast("double").alias("OEXISTENCIA"),
     )
     # At most one entry per warehouse in an array.
     nested_stock = stock.groupBy("l_partkey").agg(F.collect_list(store).alias("Bodegas"))

@@ -11,10 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradewell.functions.text import blank_to
 from tradewell.operators.enrich import Dimension, History, enrich
 from tradewell.operators.scd2 import day_window
+from tradewell.operators.sizing import spread
+from tradewell.plans.marts import Star, sums_by
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,8 +36,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; its schema is read from the footers once per path."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def as_of() -> Column:
@@ -57,7 +67,7 @@ def doubles(df: DataFrame, *columns: str) -> DataFrame:
 # --- sales lines -----------------------------------------------------------------
 
 def sales(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
     orders = table(spark, folder, "orders")
     base = money("l_extendedprice") * (F.lit(1).cast("decimal(3,2)") - money("l_discount", 3))
     reference = F.when(F.col("l_returnflag") == "N", F.lit(None)).when(
@@ -72,7 +82,7 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
         blank_to(reference, F.col("l_partkey").cast("string")).alias("referencia_erp"),
         F.col("o_custkey").alias("cod_cliente_erp"),
         F.col("l_suppkey").alias("cod_vendedor_erp"),
-        F.lpad(F.round(F.col("l_tax") * 100).cast("int").cast("string"), 2, "0").alias("bodega_erp"),
+        F.lpad((F.col("l_tax") * 100 + 0.5).cast("int").cast("string"), 2, "0").alias("bodega_erp"),
         money("l_quantity").alias("cantidad"),
         base.alias("valor_base"),
         F.col("l_returnflag").alias("marca_devolucion"),
@@ -231,15 +241,21 @@ enriched AS (
 
 # --- stock ---------------------------------------------------------------------------
 
-def shipped(spark: SparkSession, folder: str) -> DataFrame:
-    """Shipped quantity by part, supplier nation and day; one row per combination."""
+def shipped(
+    spark: SparkSession, folder: str, since: str | None = None, before: str | None = None
+) -> DataFrame:
+    """Quantity shipped in a span of days by part and supplier nation."""
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    lines = table(spark, folder, "lineitem").groupBy(
-        "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("dia")
-    ).agg(F.sum(money("l_quantity")).alias("__q"))
-    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(
-        "l_partkey", "s_nationkey", "dia"
-    ).agg(F.sum("__q").alias("cantidad"))
+    lines = table(spark, folder, "lineitem")
+    if since:
+        lines = lines.filter(F.col("l_shipdate").cast("date") >= day(since))
+    if before:
+        lines = lines.filter(F.col("l_shipdate").cast("date") < day(before))
+    return sums_by(
+        lines, {"cantidad": money("l_quantity")},
+        [Star(suppliers, "l_suppkey", "s_suppkey", {"s_nationkey": "s_nationkey"})],
+        ["l_partkey", "s_nationkey"], {"l_partkey": F.col("l_partkey")},
+    ).drop("lineas")
 
 
 SHIPPED = """

@@ -106,10 +106,11 @@ NEW_STOCK = """fresh AS (
   FROM shipped WHERE dia >= DATE '2001-06-01' GROUP BY ALL)"""
 
 
-def _stock(spark, folder, condition):
-    return shipped(spark, folder).filter(condition).groupBy(
-        F.col("l_partkey").alias("producto"), F.col("s_nationkey").alias("bodega")
-    ).agg(F.sum("cantidad").cast("double").alias("cantidad"))
+def _stock(spark, folder, **span):
+    return shipped(spark, folder, **span).select(
+        F.col("l_partkey").alias("producto"), F.col("s_nationkey").alias("bodega"),
+        F.col("cantidad").cast("double").alias("cantidad"),
+    )
 
 
 @query("inventory_current", f"""
@@ -124,12 +125,12 @@ SELECT COALESCE(s.id_producto_fk, t.id_producto_fk) AS id_producto_fk,
        CASE WHEN s.id_producto_fk IS NULL THEN DATE '1996-01-01' ELSE DATE '2001-08-01' END AS fecha
 FROM s FULL JOIN t USING (id_producto_fk, id_bodega_fk)""")
 def inventory_current(spark, folder):
-    old = _stock(spark, folder, F.col("dia") < day("1996-01-01")).select(
+    old = _stock(spark, folder, before="1996-01-01").select(
         (F.col("producto") + 1).alias("id_producto_fk"),
         (F.col("bodega") + 1).cast("bigint").alias("id_bodega_fk"), "cantidad",
         day("1996-01-01").alias("fecha"),
     )
-    feed = _stock(spark, folder, F.col("dia") >= day("2001-06-01")).withColumns({
+    feed = _stock(spark, folder, since="2001-06-01").withColumns({
         "__code": F.lpad(F.col("bodega").cast("string"), 2, "0"),
         "__ref": F.col("producto").cast("string"), "fecha": day("2001-08-01"),
     })
@@ -156,12 +157,12 @@ SELECT f.producto, f.bodega, f.cantidad, DATE '2001-08-01' FROM fresh f
 WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.fecha_snapshot = DATE '2001-08-01'
                   AND h.producto = f.producto AND h.bodega = f.bodega)""")
 def inventory_snapshot_append(spark, folder):
-    old = _stock(spark, folder, F.col("dia") < day("1996-01-01"))
+    old = _stock(spark, folder, before="1996-01-01")
     taken = old.filter(F.col("cantidad") > 40).withColumn("cantidad", F.lit(0.0))
     history = old.withColumn("fecha_snapshot", day("1996-01-01")).unionByName(
         taken.withColumn("fecha_snapshot", day("2001-08-01"))
     )
-    current = _stock(spark, folder, F.col("dia") >= day("2001-06-01"))
+    current = _stock(spark, folder, since="2001-06-01")
     return merge.append_snapshot(
         history, current, ["producto", "bodega"], "fecha_snapshot", day("2001-08-01")
     )

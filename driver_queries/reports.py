@@ -14,6 +14,7 @@ from tradewell.operators.enrich import valid
 from tradewell.operators.lookup import lookup
 from tradewell.plans import commissions, marts
 from tradewell.plans.marts import Star
+from tradewell.session import ensure_checkpoint_dir
 
 def base():
     return F.col("valor_base")
@@ -91,12 +92,13 @@ m AS (SELECT p_type AS linea, CAST(date_trunc('month', dia) AS DATE) AS fecha_sn
 SELECT *, LAG(cantidad) OVER w AS cantidad_anterior, cantidad - LAG(cantidad) OVER w AS variacion
 FROM m WINDOW w AS (PARTITION BY linea ORDER BY fecha_snapshot)""")
 def mart_inventory_trend(spark, folder):
-    monthly = table(spark, folder, "lineitem").groupBy(
-        "l_partkey", F.trunc(F.col("l_shipdate").cast("date"), "month").alias("fecha_snapshot")
-    ).agg(F.sum(money("l_quantity")).alias("q"))
-    by_line = lookup(monthly, table(spark, folder, "part"), {"l_partkey": "p_partkey"}, {"p_type": "linea"})
+    monthly = marts.sums_by(
+        table(spark, folder, "lineitem"), {"q": money("l_quantity")},
+        [Star(table(spark, folder, "part"), "l_partkey", "p_partkey", {"p_type": "linea"})],
+        ["linea", "fecha_snapshot"], {"fecha_snapshot": F.trunc(F.col("l_shipdate").cast("date"), "month")},
+    )
     return doubles(
-        marts.stock_trend(by_line, ["linea"], "fecha_snapshot", "q"),
+        marts.stock_trend(monthly, ["linea"], "fecha_snapshot", "q"),
         "cantidad", "cantidad_anterior", "variacion",
     )
 
@@ -110,7 +112,7 @@ SELECT bodega, CAST(valor AS DOUBLE) AS valor, CAST(vendido AS DOUBLE) AS vendid
 FROM v FULL JOIN s USING (bodega)""")
 def mart_drill_across(spark, folder):
     sold = sales(spark, folder).withColumnRenamed("bodega_erp", "bodega")
-    stock = shipped(spark, folder).filter(F.col("dia") >= day("2001-06-01")).withColumn(
+    stock = shipped(spark, folder, since="2001-06-01").withColumn(
         "bodega", F.lpad(F.col("s_nationkey").cast("string"), 2, "0")
     )
     return doubles(marts.drill_across(
@@ -153,12 +155,10 @@ def mart_client_class_asof(spark, folder):
         )),
     ))
     history = table(spark, folder, "customer").select(F.col("c_custkey").alias("cliente"), F.inline(versions))
-    dated = marts.sums_as_of(
+    return doubles(marts.sums_as_of(
         sales(spark, folder), "cod_cliente_erp", "fecha_sk", {"valor_base": base()}, history,
         "cliente", "ini", "fin", {"canal": "canal"},
-    )
-    return doubles(dated.groupBy("canal", F.year("fecha_sk").alias("anio")).agg(
-        F.sum("valor_base").alias("valor_base"), F.sum("lineas").alias("lineas")
+        {"canal": F.col("canal"), "anio": F.year("fecha_sk")},
     ), "valor_base")
 
 
@@ -217,12 +217,10 @@ def mart_product_state_asof(spark, folder):
                               scd2.open_end().alias("fin"))),
     ))
     history = table(spark, folder, "part").select(F.col("p_partkey").alias("producto"), F.inline(versions))
-    dated = marts.sums_as_of(
+    return doubles(marts.sums_as_of(
         sales(spark, folder), "codigo_producto_erp", "fecha_sk", {"cantidad": F.col("cantidad")}, history,
         "producto", "ini", "fin", {"estado": "estado"},
-    )
-    return doubles(dated.groupBy("estado", F.year("fecha_sk").alias("anio")).agg(
-        F.sum("cantidad").alias("cantidad"), F.sum("lineas").alias("lineas")
+        {"estado": F.col("estado"), "anio": F.year("fecha_sk")},
     ), "cantidad")
 
 
@@ -347,7 +345,9 @@ SELECT id_item_regla, id_rol_historia_fk, periodo, logrado AS valor_logrado, met
        CAST(CASE WHEN pct < COALESCE(minimo, 0) THEN 0 ELSE LEAST(pct, CAST(1.2 AS DOUBLE)) END AS DOUBLE) * CAST(peso AS DOUBLE) AS porcentaje_liquidacion_final FROM j""")
 def comm_attainment(spark, folder):
     """The goal of a month is what the role achieved in the month before."""
-    achieved = doubles(achieved_base(spark, folder), "valor_logrado")
+    ensure_checkpoint_dir(spark)
+    # Used as achievement and as next month's goal: computed once.
+    achieved = doubles(achieved_base(spark, folder), "valor_logrado").checkpoint()
     goals = achieved.select(
         "id_item_regla", "id_rol_historia_fk", F.add_months("periodo", 1).alias("periodo"),
         F.col("valor_logrado").alias("valor_meta"),
@@ -411,12 +411,13 @@ def comm_rule_params(spark, folder):
         )).otherwise("{productos").alias("parametros_json"),
     )
     wanted = commissions.rule_products(rules)
-    sold = table(spark, folder, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
-        F.sum(money("l_quantity")).alias("__q")
-    ).select(
+    sold = table(spark, folder, "lineitem").select(
         F.concat(F.lit("R"), F.col("l_suppkey").cast("string")).alias("regla"),
-        F.col("l_partkey").cast("string").alias("producto"), "__q",
-    )
+        F.col("l_partkey").cast("string").alias("producto"), money("l_quantity").alias("__q"),
+    ).join(
+        wanted.select(F.col("id_item_regla").alias("regla"), F.col("codigo_erp").alias("producto")),
+        ["regla", "producto"], "left_semi",
+    ).groupBy("regla", "producto").agg(F.sum("__q").alias("__q"))
     found = lookup(wanted, sold, {"id_item_regla": "regla", "codigo_erp": "producto"}, {"__q": "cantidad"})
     return found.groupBy("id_item_regla").agg(
         F.count("*").alias("productos"), F.count("cantidad").alias("vendidos"),

@@ -11,16 +11,30 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def broadcast_limit(df: DataFrame) -> int:
-    """Bytes up to which Spark broadcasts by itself; -1 when that is switched off."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
+def _bytes_setting(df: DataFrame, name: str) -> int:
+    raw = df.sparkSession.conf.get(name).strip().lower()
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "b": 1}
     digits = raw.rstrip("bkmg")
     suffix = raw[len(digits):]
-    factor = units[suffix[0]] if suffix else 1
-    return int(digits) * factor
+    return int(digits) * (units[suffix[0]] if suffix else 1)
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """Bytes up to which Spark broadcasts by itself; -1 when that is switched off."""
+    return _bytes_setting(df, "spark.sql.autoBroadcastJoinThreshold")
 
 
 def is_small(df: DataFrame) -> bool:
     """Whether Spark would broadcast the frame without any hint."""
     return estimated_bytes(df) <= broadcast_limit(df)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute a table of no more than one input split by ``keys``.
+
+    Such a table can be a single row group, which one task would carry through all
+    broadcast joins behind it. Larger tables come in many splits and stay as they are.
+    """
+    if estimated_bytes(df) > _bytes_setting(df, "spark.sql.files.maxPartitionBytes"):
+        return df
+    return df.repartition(*keys)

@@ -39,11 +39,11 @@ def client_impacts(
     sales: DataFrame, role: str, period: str, line: str, client: str, items: DataFrame
 ) -> DataFrame:
     """Distinct clients sold to by rule item, role and period."""
-    seen = sales.select(role, period, line, client).distinct()
+    scoped = sales.select(role, period, client, _scopes(line).alias("__scope"))
     return (
-        seen.select(role, period, client, _scopes(line).alias("__scope")).distinct()
-        .join(_items(items, CLIENT_IMPACTS), "__scope")
-        .groupBy("id_item_regla", role, period).agg(F.count("*").alias("valor_logrado"))
+        scoped.join(_items(items, CLIENT_IMPACTS), "__scope")
+        .groupBy("id_item_regla", role, period)
+        .agg(F.countDistinct(client).alias("valor_logrado"))
     )
 
 

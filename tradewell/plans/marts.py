@@ -1,8 +1,8 @@
 """Reports on the star schema.
 
-Every report reduces the fact to its foreign keys and days before it joins a dimension, so
-a key that holds a large share of the rows is one row per day by the time it is shuffled
-for a join, and measures are sums of sums.
+A fact row is never shuffled for a lookup: dimensions that may be broadcast are joined where
+the row is read, and for larger ones the fact is first reduced to its foreign keys and days,
+so a key that holds a large share of the rows is one row per day when it is shuffled.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewell.operators.calendar import business_calendar
 from tradewell.operators.lookup import lookup
 from tradewell.operators.scd2 import point_in_time
+from tradewell.operators.sizing import is_small
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,22 @@ def sums_by(
     """Sums of ``measures`` and row count ``lineas`` by fact columns and dimension attributes.
 
     ``own`` are grouping columns computed on the fact. A fact key without a dimension row
-    keeps its measures under null attributes.
+    keeps its measures under null attributes. Dimensions that are all small enough to be
+    broadcast are joined to the fact rows, which are then shuffled once, reduced. Otherwise
+    the fact is first reduced to its foreign keys.
     """
     own = own or {}
+    columns = [c.alias(name) for name, c in own.items()]
     fks = list(dict.fromkeys(star.fk for star in stars if star.fk in fact.columns))
-    result = fact.groupBy(*fks, *[c.alias(name) for name, c in own.items()]).agg(
+    fks = [fk for fk in fks if fk not in own]
+    if all(is_small(star.table) for star in stars):
+        rows = fact.select(*fks, *columns, *[c.alias(f"__{n}") for n, c in measures.items()])
+        for star in stars:
+            rows = lookup(rows, star.table, {star.fk: star.key}, star.take)
+        return rows.groupBy(*by).agg(
+            *[F.sum(f"__{n}").alias(n) for n in measures], F.count("*").alias("lineas")
+        )
+    result = fact.groupBy(*fks, *columns).agg(
         *[F.sum(c).alias(name) for name, c in measures.items()], F.count("*").alias("lineas")
     )
     for star in stars:
@@ -140,13 +151,24 @@ def pacing(
 
 def sums_as_of(
     fact: DataFrame, key: str, day: str, measures: dict[str, Column], history: DataFrame,
-    on: str, start: str, end: str, take: dict[str, str],
+    on: str, start: str, end: str, take: dict[str, str], by: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Measures per key and day with the attributes valid on that day."""
-    daily = fact.groupBy(key, day).agg(
-        *[F.sum(c).alias(n) for n, c in measures.items()], F.count("*").alias("lineas")
+    """Measures and ``lineas`` by the attributes valid on the day of the row, and by ``by``.
+
+    A history too large to broadcast is joined to one row per key and day instead of to the
+    fact rows. ``by`` may use the key, the day and taken attributes.
+    """
+    groups = [c.alias(n) for n, c in (by or {}).items()] or list(take.values())
+    if is_small(history):
+        rows = fact.select(key, day, *[c.alias(n) for n, c in measures.items()], F.lit(1).alias("lineas"))
+    else:
+        rows = fact.groupBy(key, day).agg(
+            *[F.sum(c).alias(n) for n, c in measures.items()], F.count("*").alias("lineas")
+        )
+    dated = point_in_time(rows, history, {key: on}, day, start, end, take)
+    return dated.groupBy(*groups).agg(
+        *[F.sum(n).alias(n) for n in measures], F.sum("lineas").alias("lineas")
     )
-    return point_in_time(daily, history, {key: on}, day, start, end, take)
 
 
 def category_as_of(
@@ -157,13 +179,10 @@ def category_as_of(
 
     Expects the columns of map_producto_tq_categoria, dim_tq_categorias and dim_tq_negocios.
     """
-    dated = sums_as_of(
+    by_category = sums_as_of(
         fact, key, day, measures, history, "id_producto_fk",
         "fecha_inicio_validez", "fecha_fin_validez", {"id_categoria_tq_fk": "__category"},
     )
-    by_category = dated.groupBy("__category").agg(
-        *[F.sum(n).alias(n) for n in measures], F.sum("lineas").alias("lineas")
-    )
     named = lookup(by_category, categories, {"__category": "id_categoria_tq"}, {
         "nombre_categoria_tq": "nombre_categoria_tq", "id_negocio_tq_fk": "__business"})
     return lookup(named, businesses, {"__business": "id_negocio_tq"}, {
@@ -217,7 +236,3 @@ def assortment_coverage(
         client, category, "productos_comprados", "productos_surtido",
         (F.col("productos_comprados") / F.col("productos_surtido")).alias("cobertura"),
     )
-
-
-def calendar_for(spine: DataFrame) -> DataFrame:
-    return business_calendar(spine)

@@ -34,6 +34,8 @@ def local_session(cpus: int | str = 8, app: str = "tradewell", **extra: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the source line of every column call costs more than the call.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in extra.items():
         builder = builder.config(name.replace("__", "."), value)
