@@ -52,7 +52,7 @@ d AS (SELECT cod_rol_erp, empresa_erp, ini, COUNT(*) AS versiones, MAX(fin) AS l
       FROM h GROUP BY ALL),
 p AS (SELECT d.*, (SELECT MAX(fin) FROM h WHERE h.cod_rol_erp = d.cod_rol_erp AND h.empresa_erp = d.empresa_erp
                    AND h.ini < d.ini) AS fin_anterior FROM d),
-c AS (SELECT *, GREATEST(COALESCE(CAST(LEAST(fin_anterior, last_fin) - ini AS INTEGER) + 1, -1),
+c AS (SELECT *, GREATEST(CASE WHEN fin_anterior IS NOT NULL THEN CAST(LEAST(fin_anterior, last_fin) - ini AS INTEGER) + 1 ELSE -1 END,
         CASE WHEN versiones > 1 THEN CAST(first_fin - ini AS INTEGER) + 1 ELSE -1 END) AS covered,
         CAST(ini - fin_anterior AS INTEGER) - 1 AS gap FROM p)
 SELECT cod_rol_erp, empresa_erp, ini AS fecha_inicio_validez, versiones, fin_anterior,

@@ -1,4 +1,7 @@
-"""Run registered queries against their SQL: python -m tests.check [sf] [name ...]."""
+"""Run registered queries against their SQL: python -m tests.check [--shuffle] [sf] [name ...].
+
+``--shuffle`` switches broadcasting off, so every size check takes its large-data branch.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +18,8 @@ def main(scale: str = "0.01", *names: str) -> int:
     folder = f"/root/testdata/sf{scale}"
     spark, connection = local_session(8), connect(folder)
     spark.sparkContext.setLogLevel("ERROR")
+    if "--shuffle" in sys.argv:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     queries, sql = registered.queries(), registered.oracle_sql()
     wrong = 0
     for name in names or queries:
@@ -32,4 +37,4 @@ def main(scale: str = "0.01", *names: str) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main(*[a for a in sys.argv[1:] if a != "-v"]))
+    sys.exit(main(*[a for a in sys.argv[1:] if not a.startswith("-")]))

@@ -1,0 +1,353 @@
+"""Each operator on small frames, with the cases the data is known to have."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows
+from tradewell.functions.text import blank_to, feed_date, feed_number, standard_text, strip_text
+from tradewell.operators import audit, calendar, enrich, hierarchy, keys, lookup, merge, quality, reconcile, scd2
+from tradewell.operators.nested import flatten_stock
+from tradewell.operators.sizing import broadcast_limit, estimated_bytes, is_small, spread
+from tradewell.sources.settings import Company, company_settings
+
+
+def d(text):
+    return date.fromisoformat(text)
+
+
+def day(text):
+    return F.lit(d(text))
+
+
+# --- text and dates ------------------------------------------------------------------
+
+def test_text(spark):
+    df = spark.createDataFrame([(" \tÁrbol \n",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(strip_text(F.col("t"))).collect()] == ["Árbol", None, ""]
+    assert [r[0] for r in df.select(standard_text(F.col("t"))).collect()] == ["ÁRBOL", "", ""]
+    assert [r[0] for r in df.select(blank_to(F.col("t"), F.lit("x"))).collect()] == [" \tÁrbol \n", "x", "x"]
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("05/03/2025", "2025-03-05"), ("1/2/2025", "2025-02-01"), ("31/31/2025", None),
+    ("30/02/2025", None), ("2025-03-05", None), ("", None), (None, None),
+])
+def test_feed_date(spark, text, expected):
+    found = spark.createDataFrame([(text,)], "t string").select(feed_date(F.col("t"))).first()[0]
+    assert found == (d(expected) if expected else None)
+
+
+def test_feed_number(spark):
+    df = spark.createDataFrame([("12.50",), ("abc",), (None,)], "t string")
+    assert [None if r[0] is None else float(r[0]) for r in df.select(feed_number(F.col("t"))).collect()] == [12.5, None, None]
+
+
+# --- sizes -----------------------------------------------------------------------------
+
+def test_sizes(spark, sized):
+    df = spark.range(10)
+    assert estimated_bytes(df) == 80
+    assert is_small(df) == (sized == "small")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2mb") if sized == "small" else None
+    assert broadcast_limit(df) == (2 << 20 if sized == "small" else -1)
+
+
+def test_spread_leaves_large_tables_alone(spark):
+    df = spark.range(1000)
+    assert "Exchange" in spread(df, "id")._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1kb")
+    try:
+        assert spread(df, "id") is df
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+# --- keys ------------------------------------------------------------------------------
+
+def test_pick_one(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", None, "z"), ("b", 1, None)], "k string, o int, v string")
+    assert rows(keys.pick_one(df, ["k"], ["o"])) == [("a", 2, "y"), ("b", 1, None)]
+    assert rows(keys.pick_one(df, ["k"], ["o"], keep="first")) == [("a", 1, "x"), ("b", None, "z")]
+
+
+def test_pick_one_reduces_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    plan = keys.pick_one(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and "Window" not in plan
+
+
+def test_assign_ids(spark):
+    df = spark.createDataFrame([("a", 7), ("b", None), ("c", None), ("e", 3)], "k string, id bigint")
+    first = dict(rows(keys.assign_ids(df, ["k"], "id")))
+    assert first["a"] == 7 and first["e"] == 3 and {first["b"], first["c"]} == {8, 9}
+    assert dict(rows(keys.assign_ids(df, ["k"], "id", buckets=1)))["b"] == 8
+    other = spark.createDataFrame([("z", 50)], "k string, id bigint")
+    assert {v for v in dict(rows(keys.assign_ids(df, ["k"], "id", other))).values()} == {7, 3, 51, 52}
+    empty = spark.createDataFrame([("a", None)], "k string, id bigint")
+    assert rows(keys.assign_ids(empty, ["k"], "id")) == [("a", 1)]
+
+
+# --- lookups ---------------------------------------------------------------------------
+
+def test_duplicate_mapping_keeps_the_row_count_and_the_last_entry(spark, sized):
+    mapping = spark.createDataFrame([("p", "old", 1), ("p", "new", 2)], "codigo string, nuevo string, orden int")
+    df = spark.createDataFrame([("p", "x"), ("q", "y"), (None, "z")], "cod string, linea string")
+    out = lookup.override(df, lookup.last_mapping(mapping, ["codigo"], "orden"), {"cod": "codigo"}, "linea", "nuevo")
+    assert rows(out) == [("p", "new"), ("q", "y"), (None, "z")]
+
+
+def test_lookup_on_two_columns_and_clash(spark):
+    brands = spark.createDataFrame([("B", "C1", "001"), ("B", "C2", "002")], "m string, e string, cod string")
+    df = spark.createDataFrame([("B", "C2"), ("X", "C1")], "marca string, empresa string")
+    assert rows(lookup.lookup(df, brands, {"marca": "m", "empresa": "e"}, {"cod": "cod"})) == [("B", "C2", "002"), ("X", "C1", None)]
+    with pytest.raises(ValueError):
+        lookup.lookup(df, brands, {"marca": "m"}, {"cod": "marca"})
+
+
+def test_fill_null_touches_only_missing_links(spark, sized):
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", None)], "c string, fk bigint")
+    table = spark.createDataFrame([("a", 9), ("b", 8)], "m string, id bigint")
+    assert rows(lookup.fill_null(df, table, {"c": "m"}, "fk", "id")) == [("a", 1), ("b", 8), ("c", None)]
+
+
+def test_first_match(spark):
+    df = spark.createDataFrame([("a", "r", 5), ("a", "r", 2)], "c string, r string, id int")
+    assert rows(lookup.first_match(df, ["c", "r"], "id")) == [("a", "r", 2)]
+
+
+# --- history ---------------------------------------------------------------------------
+
+HISTORY = [
+    ("v1", 1, "2025-01-01", "2025-03-31"), ("v1", 2, "2025-05-01", "9999-12-31"), ("v2", 3, "2025-02-01", "9999-12-31"),
+]
+
+
+def history(spark, data=HISTORY):
+    return spark.createDataFrame([(k, i, d(a), d(b)) for k, i, a, b in data], "k string, id int, ini date, fin date")
+
+
+@pytest.mark.parametrize("by_year", [False, True])
+def test_point_in_time(spark, sized, by_year):
+    days = ["2024-12-31", "2025-01-01", "2025-03-31", "2025-04-15", "2025-05-01", "2030-01-01"]
+    fact = spark.createDataFrame([("v1", d(x)) for x in days] + [("v9", d("2025-01-01")), (None, d("2025-01-01"))], "s string, f date")
+    window = scd2.day_window(fact, "f") if by_year else None
+    out = scd2.point_in_time(fact, history(spark), {"s": "k"}, "f", "ini", "fin", {"id": "rol"}, window, by_year)
+    assert {(r.s, str(r.f)): r.rol for r in out.collect()} == {
+        ("v1", "2024-12-31"): None, ("v1", "2025-01-01"): 1, ("v1", "2025-03-31"): 1, ("v1", "2025-04-15"): None,
+        ("v1", "2025-05-01"): 2, ("v1", "2030-01-01"): 2, ("v9", "2025-01-01"): None, (None, "2025-01-01"): None,
+    }
+
+
+def test_point_in_time_repeats_rows_of_overlapping_versions(spark):
+    data = HISTORY + [("v1", 4, "2025-03-01", "2025-05-31")]
+    fact = spark.createDataFrame([("v1", d("2025-03-15"))], "s string, f date")
+    assert scd2.point_in_time(fact, history(spark, data), {"s": "k"}, "f", "ini", "fin", {"id": "rol"}).count() == 2
+    assert rows(scd2.overlap_report(history(spark, data), ["k"], "ini", "fin").select("ini", "estado", "dias")) == [
+        (d("2025-03-01"), "SOLAPE", 31), (d("2025-05-01"), "SOLAPE", 31)]
+
+
+def test_overlap_report_gap_and_same_start(spark):
+    found = scd2.overlap_report(history(spark), ["k"], "ini", "fin")
+    assert rows(found.select("k", "ini", "estado", "dias")) == [("v1", d("2025-05-01"), "HUECO", 30)]
+    twice = history(spark, [("x", 1, "2025-01-01", "2025-01-10"), ("x", 2, "2025-01-01", "2025-01-05")])
+    assert rows(scd2.overlap_report(twice, ["k"], "ini", "fin").select("versiones", "estado", "dias")) == [(2, "SOLAPE", 5)]
+
+
+def test_current_rows(spark):
+    assert rows(scd2.current_rows(history(spark), day("2025-04-01"), "fin").select("id")) == [(2,), (3,)]
+
+
+def test_apply_changes(spark, sized):
+    incoming = spark.createDataFrame([("v1", 2), ("v2", 30), ("v3", 40)], "k string, id int")
+    out = scd2.apply_changes(history(spark), incoming, ["k"], ["id"], "ini", "fin", day("2025-06-01"))
+    expected = [
+        ("v1", 1, d("2025-01-01"), d("2025-03-31")), ("v1", 2, d("2025-05-01"), d("9999-12-31")),
+        ("v2", 3, d("2025-02-01"), d("2025-05-31")), ("v2", 30, d("2025-06-01"), d("9999-12-31")),
+        ("v3", 40, d("2025-06-01"), d("9999-12-31")),
+    ]
+    assert rows(out) == sorted(expected, key=lambda r: [(False, str(v)) for v in r])
+    again = scd2.apply_changes(out, incoming, ["k"], ["id"], "ini", "fin", day("2025-06-01"))
+    assert rows(again) == rows(out)
+    corrected = spark.createDataFrame([("v3", 41)], "k string, id int")
+    third = scd2.apply_changes(out, corrected, ["k"], ["id"], "ini", "fin", day("2025-06-01"))
+    assert rows(third.filter("k = 'v3'")) == [("v3", 41, d("2025-06-01"), d("9999-12-31"))]
+    assert rows(scd2.overlap_report(third, ["k"], "ini", "fin").filter("estado = 'SOLAPE'")) == []
+
+
+# --- write modes -----------------------------------------------------------------------
+
+def test_upsert(spark, sized):
+    target = spark.createDataFrame([(1, "a", "A"), (2, "b", "B"), (3, "c", "C")], "k int, v string, w string")
+    source = spark.createDataFrame([(2, None, "X"), (4, "n", "N")], "k int, v string, w string")
+    full = merge.upsert(target, source, ["k"])
+    assert rows(full) == [(1, "a", "A"), (2, None, "X"), (3, "c", "C"), (4, "n", "N")]
+    assert rows(merge.upsert(full, source, ["k"])) == rows(full)
+    partial = merge.upsert(target, source, ["k"], ["v"])
+    assert rows(partial) == [(1, "a", "A"), (2, None, "B"), (3, "c", "C"), (4, "n", "N")]
+    narrow = merge.upsert(target, source.drop("w"), ["k"])
+    assert rows(narrow) == [(1, "a", "A"), (2, None, "B"), (3, "c", "C"), (4, "n", None)]
+
+
+def test_small_upsert_does_not_shuffle_the_target(spark):
+    target = spark.range(1000).withColumn("v", F.lit("t"))
+    plan = merge.upsert(target, spark.range(5).withColumn("v", F.lit("s")), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_insert_ignore(spark, sized):
+    target = spark.createDataFrame([("a", "1")], "k string, v string")
+    source = spark.createDataFrame([("a", "9"), ("b", "2")], "k string, v string")
+    once = merge.insert_ignore(target, source, ["k"])
+    assert rows(once) == [("a", "1"), ("b", "2")]
+    assert rows(merge.insert_ignore(once, source, ["k"])) == rows(once)
+
+
+def test_snapshot_twice_a_day_is_once(spark, sized):
+    hist = spark.createDataFrame([(d("2025-01-01"), "p", 1)], "dia date, k string, q int")
+    current = spark.createDataFrame([("p", 5), ("q", 6)], "k string, q int")
+    once = merge.append_snapshot(hist, current, ["k"], "dia", day("2025-01-02"))
+    assert once.count() == 3
+    assert rows(merge.append_snapshot(once, current, ["k"], "dia", day("2025-01-02"))) == rows(once)
+
+
+def test_reload_range(spark):
+    target = spark.createDataFrame([(d(x), v) for x, v in [("2025-01-01", 1), ("2025-01-02", 2), ("2025-01-03", 3), ("2025-01-04", 4)]], "f date, v int")
+    new = spark.createDataFrame([(d("2025-01-03"), 30)], "f date, v int")
+    out = merge.reload_range(target, new, "f", day("2025-01-02"), day("2025-01-03"))
+    assert rows(out) == [(d("2025-01-01"), 1), (d("2025-01-03"), 30), (d("2025-01-04"), 4)]
+    assert merge.reload_range(target, new.limit(0), "f", day("2025-01-02"), day("2025-01-03")) is target
+
+
+# --- comparison ------------------------------------------------------------------------
+
+def test_change_report(spark, sized):
+    stored = spark.createDataFrame([(1, "Ana", None), (2, "Luz", "c1"), (3, "Sol", "c2")], "k int, n string, dir string")
+    feed = spark.createDataFrame([(1, " ana ", ""), (2, "Luz", "c9"), (4, "Mar", "c3")], "k int, n string, dir string")
+    report = reconcile.change_report(stored, feed, ["k"], ["n", "dir"], "n")
+    assert rows(report) == [("MODIFICADO", 2, "LUZ", "LUZ", "dir"), ("NUEVO", 4, None, "MAR", "")]
+    assert rows(reconcile.change_report(stored, feed, ["k"], ["n", "dir"], "n", removed=True).select("estado", "k")) == [
+        ("MODIFICADO", 2), ("NUEVO", 4), ("RETIRADO", 3)]
+
+
+def test_seller_report(spark):
+    managed = spark.createDataFrame([("V1", "e", "10"), ("V2", "e", "20"), ("V3", "e", "30")], "r string, e string, doc string")
+    feed = spark.createDataFrame([("V1", "e", " 10"), ("V2", "e", None), ("V4", "e", "40")], "r string, e string, doc string")
+    assert rows(reconcile.seller_report(managed, feed, ["r", "e"], "doc")) == [
+        ("FALTA EN API (INACTIVO?)", "V3", "e", "No encontrado", "30"),
+        ("INCONSISTENCIA DE DOCUMENTO", "V2", "e", None, "20"),
+        ("NUEVO EN API", "V4", "e", "40", "No existe"),
+    ]
+
+
+def test_extracts(spark):
+    first = spark.createDataFrame([("a", None)], "k string, r string")
+    second = spark.createDataFrame([("a", ""), ("b", "x"), (None, "y")], "k string, r string")
+    new = reconcile.new_in_second(first, second, ["k", "r"])
+    assert rows(new) == [("", "y"), ("b", "x")]
+    assert rows(reconcile.first_rows(new, ["k"], 1)) == [("", "y")]
+    with pytest.raises(ValueError, match="lacks key"):
+        reconcile.new_in_second(first.drop("r"), second, ["k", "r"])
+
+
+# --- quality ---------------------------------------------------------------------------
+
+def test_checks(spark, sized):
+    df = spark.createDataFrame([(1, "aaa"), (1, "b"), (None, None), (5, "c")], "k int, t string")
+    assert rows(quality.duplicate_keys(df, ["k"])) == [(1, 2)]
+    parent = spark.createDataFrame([(1,), (1,)], "id int")
+    assert rows(quality.orphan_counts([quality.ForeignKey("fk", df, "k", parent, "id")])) == [("fk", 1, 1, 1)]
+    assert rows(quality.column_profile(df, [quality.ColumnRule("t", required=True, max_length=2), quality.ColumnRule("k", precision=1)])) == [
+        ("k", 4, 1, 1, 0, 0, 0), ("t", 4, 1, 3, 1, 0, 2)]
+    assert rows(quality.unmatched(df, parent, {"k": "id"}).select("k")) == [(5,), (None,)]
+    with pytest.raises(quality.GateError):
+        quality.gate(df, "x")
+    quality.gate(df.limit(0), "x")
+
+
+def test_enrich_keeps_every_row(spark, sized):
+    fact = spark.createDataFrame([("p", "v1", d("2025-01-15")), ("x", "v1", d("2025-01-15")), ("p", "v1", d("2025-04-15"))], "prod string, s string, f date")
+    products = spark.createDataFrame([("p", 10)], "cod string, id int")
+    out = enrich.enrich(fact, [
+        enrich.Dimension(products, {"prod": "cod"}, "id", "id_producto_fk"),
+        enrich.History(history(spark), {"s": "k"}, "id", "id_rol_fk", day="f", start="ini", end="fin"),
+    ])
+    assert enrich.valid(out).count() == 1
+    assert rows(enrich.rejects(out).select(enrich.REASON)) == [("id_producto_fk",), ("id_rol_fk",)]
+    assert rows(quality.load_metrics(out, enrich.REASON)) == [(3, 1, 2)]
+    assert enrich.present(out, ["nope", "prod", "id_rol_fk"]) == ["prod", "id_rol_fk"]
+
+
+# --- nested stock ----------------------------------------------------------------------
+
+def test_flatten_stock(spark):
+    layout = ("codigo_erp string, empresa_erp string, Bodegas array<struct<OCODBODEGA:string,OEXISTENCIA:string>>, "
+              "Items array<struct<OCODLISTA:string>>")
+    feed = spark.createDataFrame([
+        ("ok", "A", [("00", "5"), ("77", "9"), ("06", "1")], [("2",), (" 1 ",)]),
+        ("no list", "A", [("00", "5")], None), ("other list", "A", [("00", "5")], [("2",)]),
+        ("no stores", "A", None, [("1",)]), ("empty", "A", [], [("1",)]),
+        ("any list", "C", [("03", "4")], None), ("unknown company", "Z", [("03", "4")], None),
+    ], layout)
+    settings = company_settings(spark, [Company("A", ("00", "06"), "1"), Company("C", ("03",))])
+    assert rows(flatten_stock(feed, settings)) == [("any list", "C", "03", "4"), ("ok", "A", "00", "5"), ("ok", "A", "06", "1")]
+
+
+# --- audits ----------------------------------------------------------------------------
+
+def test_audits(spark, sized):
+    products = spark.createDataFrame([(i, f"c{i % 4}", f"r{i % 4}" if i % 4 else None, "d") for i in range(1, 9)],
+                                     "id_producto int, codigo_erp string, referencia string, descripcion_erp string")
+    sales = spark.createDataFrame([(1, d("2024-06-01")), (2, d("2024-05-31")), (4, d("2025-01-01"))], "id_producto_fk int, fecha_sk date")
+    stock = spark.createDataFrame([(3, d("2025-03-01")), (7, d("2025-02-28"))], "id_producto_fk int, fecha_ultima_actualizacion date")
+    managed = spark.createDataFrame([(8,)], "id_producto_fk int")
+    out = audit.pending_products(products, sales, stock, managed, day("2025-06-01"))
+    # 1 is on the boundary day, 2 a day too old; 4 shares its (code, null) with the managed 8
+    assert rows(out.select("codigo_erp", "referencia", "categoria_gestion")) == [("c1", "r1", ""), ("c3", "r3", "")]
+    clients = spark.createDataFrame([(1, None, "n", "x", "c1", "e"), (2, 5, "n", "x", "c2", "e"), (3, None, "n", "x", "c3", "e")],
+                                    "id_cliente_empresa int, id_maestro_cliente_fk int, nit string, nombre_erp string, cod_cliente_erp string, empresa_erp string")
+    bought = spark.createDataFrame([(1, d("2023-06-01")), (2, d("2025-01-01")), (3, d("2023-05-31"))], "id_cliente_empresa_fk int, fecha_sk date")
+    assert rows(audit.pending_clients(clients, bought, day("2025-06-01"))) == [("c1", "n", "x", "", "", "c1", "e")]
+
+
+# --- calendar --------------------------------------------------------------------------
+
+def test_calendar_golden_counts(spark):
+    out = calendar.business_calendar(calendar.date_spine(spark)).groupBy("anio").agg(
+        F.count("*"), F.count_if("es_festivo"), F.count_if("es_dia_habil"), F.count_if("es_fin_de_semana"))
+    assert rows(out) == [
+        (2020, 366, 18, 296, 52), (2021, 365, 18, 295, 52), (2022, 365, 18, 298, 52), (2023, 365, 18, 295, 53),
+        (2024, 366, 18, 297, 52), (2025, 365, 17, 297, 52), (2026, 365, 18, 295, 52), (2027, 365, 18, 295, 52),
+        (2028, 366, 18, 295, 53), (2029, 365, 18, 295, 52), (2030, 365, 17, 297, 52)]
+
+
+def test_calendar_days(spark):
+    days = {r.fecha_sk: r for r in calendar.business_calendar(calendar.date_spine(spark, "2021-01-01", "2021-01-31")).collect()}
+    assert len(days) == 31
+    new_year = days[d("2021-01-01")]
+    assert (new_year.nombre_dia, new_year.es_festivo, new_year.dia_habil_del_mes, new_year.semana_del_anio) == ("Viernes", True, None, 53)
+    assert days[d("2021-01-02")].dia_habil_del_mes == 1 and days[d("2021-01-02")].nombre_dia == "Sábado"
+    assert days[d("2021-01-11")].es_festivo and not days[d("2021-01-06")].es_festivo  # moved to Monday
+    assert {r.total_dias_habiles_mes for r in days.values()} == {24}
+    assert (new_year.bimestre_del_anio, new_year.trimestre_del_anio, new_year.nombre_mes) == (1, 1, "Enero")
+
+
+# --- hierarchies -----------------------------------------------------------------------
+
+def test_rollup_to_ancestors(spark):
+    edges = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None)], "n int, p int")
+    amounts = spark.createDataFrame([(3, 5), (3, 1), (2, 10), (4, 7)], "n int, a int")
+    assert rows(hierarchy.rollup_to_ancestors(edges, amounts, "n", "p", "a")) == [(1, None, 16), (2, 10, 16), (3, 6, 6), (4, 7, 7)]
+    loop = spark.createDataFrame([(1, 2), (2, 1)], "n int, p int")
+    with pytest.raises(ValueError, match="loop"):
+        hierarchy.rollup_to_ancestors(loop, amounts.limit(0).union(spark.createDataFrame([(1, 1)], "n int, a int")), "n", "p", "a", 3)
+
+
+def test_weighted_tree_with_leaves_on_two_levels(spark):
+    nodes = spark.createDataFrame([("T", None, 1.0), ("A", "T", 3.0), ("B", "T", 1.0)], "n string, p string, w double")
+    leaves = spark.createDataFrame([("A", 1.0, 10.0), ("A", 1.0, 20.0), ("B", 2.0, 8.0), ("B", 5.0, None), ("T", 4.0, 1.0)], "p string, w double, v double")
+    out = hierarchy.weighted_tree(nodes, leaves, "n", "p", "w", "v", 2)
+    assert {(r.n, float(r.v)) for r in out.collect()} == {("A", 15.0), ("B", 8.0), ("T", (45 + 8 + 4) / 8)}

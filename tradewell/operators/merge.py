@@ -104,5 +104,6 @@ def reload_range(
     """
     if new.isEmpty():
         return target
-    inside = F.coalesce(F.col(day_column).between(low, high), F.lit(False))
-    return target.filter(~inside).unionByName(_aligned(new, target, new.columns))
+    # Spelled out so that it reaches the scan and prunes partitions.
+    outside = (F.col(day_column) < low) | (F.col(day_column) > high) | F.col(day_column).isNull()
+    return target.filter(outside).unionByName(_aligned(new, target, new.columns))

@@ -84,7 +84,10 @@ def overlap_report(history: DataFrame, keys: list[str], start: str, end: str) ->
     checked = days.withColumn("fin_anterior", F.max("__end").over(earlier))
     covered = F.greatest(
         # days shared with earlier starts, and among versions of the same start
-        F.datediff(F.least("fin_anterior", "__end"), F.col(start)) + 1,
+        F.when(
+            F.col("fin_anterior").isNotNull(),
+            F.datediff(F.least("fin_anterior", "__end"), F.col(start)) + 1,
+        ),
         F.when(F.col("versiones") > 1, F.datediff("__first_end", F.col(start)) + 1),
     )
     gap = F.datediff(F.col(start), F.col("fin_anterior")) - 1
