@@ -362,13 +362,19 @@ def comm_attainment(spark, folder):
     )
 
 
-@query("comm_rule_tree", """
+# Half up in whole ten-thousandths, as DuckDB divides decimals as doubles.
+def _average(weight: str, value: str) -> str:
+    total = f"CAST(SUM({weight} * {value}) * 10000 AS HUGEINT)"
+    return f"CAST(((2 * {total} + SUM({weight})) // (2 * SUM({weight}))) AS DECIMAL(18,0)) * CAST(0.0001 AS DECIMAL(5,4))"
+
+
+@query("comm_rule_tree", f"""
 WITH l AS (SELECT c_nationkey AS n, CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 2 ELSE 1 END AS w,
                   CAST(c_acctbal AS DECIMAL(12,2)) AS v FROM customer WHERE c_acctbal >= 0),
-n1 AS (SELECT n, CAST(round(CAST(SUM(w * v) AS DOUBLE) / SUM(w), 4) AS DECIMAL(18,4)) AS v FROM l GROUP BY 1),
-r1 AS (SELECT n_regionkey AS r, CAST(round(CAST(SUM((n_nationkey + 1) * v) AS DOUBLE) / SUM(n_nationkey + 1), 4) AS DECIMAL(18,4)) AS v
+n1 AS (SELECT n, CAST({_average("w", "v")} AS DECIMAL(18,4)) AS v FROM l GROUP BY 1),
+r1 AS (SELECT n_regionkey AS r, CAST({_average("(n_nationkey + 1)", "v")} AS DECIMAL(18,4)) AS v
        FROM n1 JOIN nation ON n_nationkey = n GROUP BY 1),
-t1 AS (SELECT CAST(round(CAST(SUM((r + 1) * v) AS DOUBLE) / SUM(r + 1), 4) AS DECIMAL(18,4)) AS v FROM r1)
+t1 AS (SELECT CAST({_average("(r + 1)", "v")} AS DECIMAL(18,4)) AS v FROM r1)
 SELECT 'N' || n AS item, CAST(2 AS INTEGER) AS nivel, CAST(v AS DOUBLE) AS valor FROM n1
 UNION ALL SELECT 'R' || r, 1, CAST(v AS DOUBLE) FROM r1 UNION ALL SELECT 'TOTAL', 0, CAST(v AS DOUBLE) FROM t1""")
 def comm_rule_tree(spark, folder):

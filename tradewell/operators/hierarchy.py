@@ -81,7 +81,8 @@ def weighted_tree(
             F.col(node).alias("__id"), F.col(parent).alias("__up"), F.col(weight).alias("__own")
         ).join(totals, F.col("__id") == F.col("__node")).select(
             "__id", "__up", "__own",
-            F.round(F.col("__wv").cast("double") / F.col("__w").cast("double"), 4)
+            # decimal division with sixteen digits, so that halves round as in the result table
+            F.round(F.col("__wv").cast("decimal(26,8)") / F.col("__w").cast("decimal(12,4)"), 4)
             .cast("decimal(18,4)").alias("__v"),
         )
         results.append(done.select(

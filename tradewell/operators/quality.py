@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +72,7 @@ def column_profile(df: DataFrame, rules: list[ColumnRule]) -> DataFrame:
         zero = F.lit(0).cast("bigint")
         too_long = F.count_if(length > rule.max_length) if rule.max_length else zero
         beyond = (
-            F.count_if(F.abs(value) >= F.lit(10 ** (rule.precision - (rule.scale or 0))).cast("double"))
+            F.count_if(F.abs(value) >= F.lit(Decimal(10) ** (rule.precision - (rule.scale or 0))))
             if rule.precision else zero
         )
         nulls = F.count_if(value.isNull())
