@@ -376,14 +376,14 @@ r1 AS (SELECT n_regionkey AS r, CAST({_average("(n_nationkey + 1)", "v")} AS DEC
        FROM n1 JOIN nation ON n_nationkey = n GROUP BY 1),
 t1 AS (SELECT CAST({_average("(r + 1)", "v")} AS DECIMAL(18,4)) AS v FROM r1)
 SELECT 'N' || n AS item, CAST(2 AS INTEGER) AS nivel, CAST(v AS DOUBLE) AS valor FROM n1
-UNION ALL SELECT 'R' || r, 1, CAST(v AS DOUBLE) FROM r1 UNION ALL SELECT 'TOTAL', 0, CAST(v AS DOUBLE) FROM t1""")
+UNION ALL SELECT 'R' || r, 1, CAST(v AS DOUBLE) FROM r1 UNION ALL SELECT 'T0', 0, CAST(v AS DOUBLE) FROM t1""")
 def comm_rule_tree(spark, folder):
     """Nations under regions under one top; customers are the leaves, some without a value."""
     def name(prefix, column):
         return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
     regions = table(spark, folder, "region").select(
-        name("R", "r_regionkey").alias("item"), F.lit("TOTAL").alias("padre"), (F.col("r_regionkey") + 1).alias("peso"))
+        name("R", "r_regionkey").alias("item"), F.concat(F.lit("T"), F.expr("r_regionkey div 100")).alias("padre"), (F.col("r_regionkey") + 1).alias("peso"))
     nations = table(spark, folder, "nation").select(
         name("N", "n_nationkey").alias("item"), name("R", "n_regionkey").alias("padre"), (F.col("n_nationkey") + 1).alias("peso"))
     top = regions.select("padre").distinct().select(

@@ -60,14 +60,20 @@ def upsert(
     ])
 
 
+def known_rows(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Target rows that can match ``rows``.
+
+    A small frame reduces the target to its keys without shuffling it; what is left is no
+    larger than the frame. For a large one the target stays whole.
+    """
+    if is_small(rows):
+        return target.join(rows.select(*keys), keys, "left_semi")
+    return target
+
+
 def _new_keys(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows whose key the target lacks."""
-    known = target.select(*keys)
-    if is_small(rows):
-        # Reduces the target's keys to those of the source without shuffling the target;
-        # what is left is no larger than the source.
-        known = known.join(rows.select(*keys), keys, "left_semi")
-    return rows.join(known, keys, "left_anti")
+    return rows.join(known_rows(target.select(*keys), rows, keys), keys, "left_anti")
 
 
 def insert_ignore(
