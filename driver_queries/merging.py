@@ -9,6 +9,8 @@ from driver_queries.frames import (
 )
 from tradewell.functions import text
 from tradewell.operators import keys, lookup, merge
+from tradewell.operators.sizing import spread
+from tradewell.plans.marts import Star, sums_by
 
 LAST_ORDER = """SELECT o_custkey AS cliente, fecha, o_orderpriority AS prioridad, valor FROM (
     SELECT *, CAST(o_orderdate AS DATE) AS fecha, CAST(o_totalprice AS DECIMAL(12,2)) AS valor,
@@ -217,18 +219,16 @@ LEFT JOIN nation cn ON cn.n_nationkey = c_nationkey LEFT JOIN nation sn ON sn.n_
 GROUP BY ALL""")
 def lookup_role_playing(spark, folder):
     nations = table(spark, folder, "nation")
-    pairs = (
-        table(spark, folder, "lineitem")
-        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("c_nationkey", "s_nationkey").agg(F.sum("n").alias("lineas"))
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey").join(
+        table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     # One lookup table in two roles.
-    named = lookup.lookup(pairs, nations, {"c_nationkey": "n_nationkey"}, {"n_name": "nacion_cliente"})
-    named = lookup.lookup(named, nations, {"s_nationkey": "n_nationkey"}, {"n_name": "nacion_vendedor"})
-    return named.select("nacion_cliente", "nacion_vendedor", "lineas")
+    return sums_by(lines, {}, [
+        Star(table(spark, folder, "customer"), "o_custkey", "c_custkey", {"c_nationkey": "__cn"}),
+        Star(table(spark, folder, "supplier"), "l_suppkey", "s_suppkey", {"s_nationkey": "__sn"}),
+        Star(nations, "__cn", "n_nationkey", {"n_name": "nacion_cliente"}),
+        Star(nations, "__sn", "n_nationkey", {"n_name": "nacion_vendedor"}),
+    ], ["nacion_cliente", "nacion_vendedor"])
 
 
 @query("surrogate_keys", """

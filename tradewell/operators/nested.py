@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewell.functions.text import strip_text
+
 
 def flatten_stock(
     products: DataFrame, settings: DataFrame, company: str = "empresa_erp",
@@ -21,7 +23,7 @@ def flatten_stock(
         F.col("empresa_erp").alias("__company"), "bodegas_permitidas", "lista_precio_permitida"
     )
     on_list = F.coalesce(
-        F.exists(lists, lambda i: F.trim(i["OCODLISTA"]) == F.col("lista_precio_permitida")),
+        F.exists(lists, lambda i: strip_text(i["OCODLISTA"]) == F.col("lista_precio_permitida")),
         F.lit(False),
     )
     kept = F.filter(

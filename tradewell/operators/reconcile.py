@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.functions.text import standard_text
+from tradewell.functions.text import standard_text, strip_text
 
 
 def compare(
@@ -85,7 +85,7 @@ NOT_FOUND = "No encontrado"
 
 def seller_report(managed: DataFrame, feed: DataFrame, keys: list[str], document: str) -> DataFrame:
     """Managed roles against the sellers of the feed; a null document is a difference."""
-    diff = compare(managed, feed, keys, [document], normalise=F.trim)
+    diff = compare(managed, feed, keys, [document], normalise=strip_text)
     ours, theirs = F.col(f"{document}_nuestro"), F.col(f"{document}_suyo")
     state = (
         F.when(F.col("lado") == "SUYO", NEW_IN_FEED)
@@ -112,6 +112,3 @@ def first_rows(df: DataFrame, keys: list[str], n: int = 20) -> DataFrame:
     """The first ``n`` rows by key, for a report on screen."""
     return df.orderBy(*keys).limit(n)
 
-
-def any_changed(a: list[Column], b: list[Column]) -> Column:
-    return reduce(or_, [~x.eqNullSafe(y) for x, y in zip(a, b, strict=True)])
