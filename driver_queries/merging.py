@@ -151,18 +151,16 @@ def inventory_current(spark, folder):
 
 @query("inventory_snapshot_append", f"""
 WITH {SHIPPED}, {OLD_STOCK}, {NEW_STOCK},
-h AS (SELECT producto, bodega, cantidad, DATE '1996-01-01' AS fecha_snapshot FROM old
-      UNION ALL SELECT producto, bodega, 0, DATE '2001-08-01' FROM old WHERE cantidad > 40)
+h AS (SELECT producto, bodega, cantidad, CASE WHEN cantidad > 40 THEN DATE '2001-08-01' ELSE DATE '1996-01-01' END AS fecha_snapshot FROM old)
 SELECT * FROM h
 UNION ALL
 SELECT f.producto, f.bodega, f.cantidad, DATE '2001-08-01' FROM fresh f
 WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.fecha_snapshot = DATE '2001-08-01'
                   AND h.producto = f.producto AND h.bodega = f.bodega)""")
 def inventory_snapshot_append(spark, folder):
-    old = _stock(spark, folder, before="1996-01-01")
-    taken = old.filter(F.col("cantidad") > 40).withColumn("cantidad", F.lit(0.0))
-    history = old.withColumn("fecha_snapshot", day("1996-01-01")).unionByName(
-        taken.withColumn("fecha_snapshot", day("2001-08-01"))
+    # Part of the history is a snapshot of that very day.
+    history = _stock(spark, folder, before="1996-01-01").withColumn(
+        "fecha_snapshot", F.when(F.col("cantidad") > 40, day("2001-08-01")).otherwise(day("1996-01-01"))
     )
     current = _stock(spark, folder, since="2001-06-01")
     return merge.append_snapshot(

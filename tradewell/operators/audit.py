@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewell.functions.dates import months_before
+from tradewell.operators.quality import unmatched
 
 
 def recently_active(fact: DataFrame, key: str, day: str, as_of: Column, months: int) -> DataFrame:
@@ -13,16 +14,9 @@ def recently_active(fact: DataFrame, key: str, day: str, as_of: Column, months:
     return fact.filter(F.col(day) >= months_before(as_of, months)).select(key).distinct()
 
 
-def not_managed(
-    active: DataFrame, managed: DataFrame, keys: list[str], null_safe: bool = True
-) -> DataFrame:
+def not_managed(active: DataFrame, managed: DataFrame, keys: list[str]) -> DataFrame:
     """Active rows whose key is not among the managed ones; null keys equal null keys."""
-    known = managed.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    condition = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}")) if null_safe else F.col(k) == F.col(f"__{k}")
-        condition = same if condition is None else condition & same
-    return active.join(known, condition, "left_anti")
+    return unmatched(active, managed, {k: k for k in keys}, null_safe=True)
 
 
 def work_list(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:

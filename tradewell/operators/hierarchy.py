@@ -75,6 +75,8 @@ def weighted_tree(
         F.col(parent).alias("__node"), (F.col(weight) * F.col(value)).alias("__wv"),
         F.col(weight).alias("__w"),
     ))
+    ensure_checkpoint_dir(nodes.sparkSession)
+    leaf_sums = leaf_sums.checkpoint()  # every level needs it; the leaves are read once
     totals, results = leaf_sums, []
     for depth, level in reversed(list(enumerate(by_depth(nodes, node, parent, levels)))):
         done = level.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewell.operators.keys import pick_one
@@ -29,7 +29,7 @@ def lookup(
         *[F.col(theirs).alias(names[own]) for own, theirs in on.items()],
         *[F.col(source).alias(new) for source, new in take.items()],
     )
-    equal = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
+    equal = Column.eqNullSafe if null_safe else Column.__eq__
     condition = reduce(and_, [equal(F.col(own), F.col(names[own])) for own in on])
     return df.join(right, condition, "left").drop(*names.values())
 

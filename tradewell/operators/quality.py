@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def orphan_counts(foreign_keys: list[ForeignKey]) -> DataFrame:
 
     def one(fk: ForeignKey) -> DataFrame:
         values = fk.child.groupBy(F.col(fk.column).alias("__v")).agg(F.count("*").alias("__n"))
-        known = fk.parent.select(F.col(fk.parent_column).alias("__v")).distinct()
+        known = fk.parent.select(F.col(fk.parent_column).alias("__v"))
         lost = values.join(known, "__v", "left_anti")
         null = F.col("__v").isNull()
         return lost.agg(
@@ -89,10 +90,13 @@ def column_profile(df: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     return df.agg(F.array(*map(measures, rules)).alias("__r")).select(F.inline("__r"))
 
 
-def unmatched(df: DataFrame, table: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Rows without a match in the table, null keys included."""
+def unmatched(
+    df: DataFrame, table: DataFrame, on: dict[str, str], null_safe: bool = False
+) -> DataFrame:
+    """Rows without a match in the table; a null key only matches when ``null_safe``."""
     keys = table.select(*[F.col(theirs).alias(f"__{own}") for own, theirs in on.items()])
-    condition = reduce(lambda a, b: a & b, [F.col(own) == F.col(f"__{own}") for own in on])
+    equal = Column.eqNullSafe if null_safe else Column.__eq__
+    condition = reduce(and_, [equal(F.col(own), F.col(f"__{own}")) for own in on])
     return df.join(keys, condition, "left_anti")
 
 

@@ -220,7 +220,9 @@ def assortment_coverage(
 ) -> DataFrame:
     """Products of an agreement category each client bought, of all in the category.
 
-    Clients that bought nothing of a category have no row for it.
+    Clients that bought nothing of a category have no row for it. A small assortment is
+    joined first, which leaves few lines to reduce; for a large one each client's products
+    are made distinct before they are shuffled for the join.
     """
     items = assortment.select(
         F.col(category).alias(category), F.col(assortment_product).alias("__product")
@@ -228,9 +230,11 @@ def assortment_coverage(
     totals = items.groupBy(F.col(category).alias("__category")).agg(
         F.count("*").alias("productos_surtido")
     )
-    bought = fact.select(client, product).distinct().join(
-        items, F.col(product) == F.col("__product")
-    )
+    pairs, matches = fact.select(client, product), F.col(product) == F.col("__product")
+    if is_small(items):
+        bought = pairs.join(items, matches).select(client, category, product).distinct()
+    else:
+        bought = pairs.distinct().join(items, matches)
     counted = bought.groupBy(client, category).agg(F.count("*").alias("productos_comprados"))
     return counted.join(totals, F.col(category) == F.col("__category")).select(
         client, category, "productos_comprados", "productos_surtido",

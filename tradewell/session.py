@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     executors do not share one, so a missing setting is an error there.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not context.getCheckpointDir():
             context.setCheckpointDir(configured)

@@ -25,8 +25,12 @@ def load_new_records(
         spark.readStream.schema(feed.record).option("maxFilesPerTrigger", files_per_batch).json(folder),
         feed,
     ).withColumn("empresa_erp", F.lit(company))
+
+    def handle(batch: DataFrame, _: int) -> None:
+        load(batch)
+
     stream = (
-        records.writeStream.foreachBatch(lambda batch, _: load(batch) and None)
+        records.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
