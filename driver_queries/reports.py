@@ -56,21 +56,14 @@ SELECT marca, anio, CAST(base AS DOUBLE) AS valor_base, CAST(costo AS DOUBLE) AS
        CAST(base - costo AS DOUBLE) AS margen, CAST(base - costo AS DOUBLE) / CAST(base AS DOUBLE) AS margen_pct FROM m""")
 def mart_margin(spark, folder):
     """Cost is the part's price times the quantity; the lines carry it like a feed does."""
-    priced = sales(spark, folder).groupBy("codigo_producto_erp", F.year("fecha_sk").alias("anio")).agg(
-        F.sum("valor_base").alias("valor_base"), F.sum("cantidad").alias("cantidad"), F.count("*").alias("n")
-    )
     costed = lookup(
-        priced, table(spark, folder, "part"), {"codigo_producto_erp": "p_partkey"},
+        sales(spark, folder), table(spark, folder, "part"), {"codigo_producto_erp": "p_partkey"},
         {"p_retailprice": "precio", "p_brand": "marca"},
     )
-    # One row per product and year stands for its n lines.
-    result = marts.margin(
-        costed, base(), (money("precio") * F.col("cantidad")).cast("decimal(38,4)"), [],
-        ["marca", "anio"], {"marca": F.col("marca"), "anio": F.col("anio")},
-    ).drop("lineas")
-    lines = costed.groupBy(F.col("marca").alias("m"), F.col("anio").alias("a")).agg(F.sum("n").alias("lineas"))
-    joined = result.join(lines, (F.col("marca") == F.col("m")) & (F.col("anio") == F.col("a"))).drop("m", "a")
-    return doubles(joined, "valor_base", "costo_total", "margen")
+    return doubles(marts.margin(
+        costed, base(), money("precio") * F.col("cantidad"), [], ["marca", "anio"],
+        {"marca": F.col("marca"), "anio": F.year("fecha_sk")},
+    ), "valor_base", "costo_total", "margen")
 
 
 @query("mart_returns", f"""

@@ -13,6 +13,7 @@ from tests.conftest import rows
 from tradewell.operators import enrich, keys, merge, scd2
 from tradewell.plans import marts
 from tradewell.plans.store import Warehouse
+from tradewell.session import size_shuffles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -108,6 +109,13 @@ def test_bucketed_dimension_is_not_shuffled_for_a_merge(spark, tight, tmp_path):
     assert side.index("Bucketed: true") < side.index("Exchange")  # the stored side has no exchange of its own
 
 
+def test_shuffle_partitions_follow_the_input(spark):
+    assert size_shuffles(spark, 1 << 20) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert size_shuffles(spark, 1 << 40) == 4096
+    assert size_shuffles(spark, 100 << 40) == 20000
+    size_shuffles(spark, 0)
+
+
 def test_ids_of_many_new_rows(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("bigint").alias("id"))
     out = keys.assign_ids(df, ["k"], "id")

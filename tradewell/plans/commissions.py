@@ -26,12 +26,14 @@ def _items(items: DataFrame, kind: str) -> DataFrame:
 def sum_of_base(
     sales: DataFrame, role: str, period: str, line: str, value: str, items: DataFrame
 ) -> DataFrame:
-    """Base value by rule item, role and period. Sales are summed by line before they are scoped."""
-    by_line = sales.groupBy(role, period, line).agg(F.sum(value).alias("__v"))
+    """Base value by rule item, role and period.
+
+    A line is doubled for its two scopes where it is read; one aggregation follows.
+    """
+    scoped = sales.select(role, period, value, _scopes(line).alias("__scope"))
     return (
-        by_line.select(role, period, _scopes(line).alias("__scope"), "__v")
-        .join(_items(items, SUM_OF_BASE), "__scope")
-        .groupBy("id_item_regla", role, period).agg(F.sum("__v").alias("valor_logrado"))
+        scoped.join(_items(items, SUM_OF_BASE), "__scope")
+        .groupBy("id_item_regla", role, period).agg(F.sum(value).alias("valor_logrado"))
     )
 
 

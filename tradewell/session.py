@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# A shuffle partition should fit in a task's memory; more than so many cost more than they save.
+PARTITION_BYTES = 256 << 20
+MOST_PARTITIONS = 20000
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Shuffle partitions for the largest input; small shuffles are coalesced at run time.
+
+    Never below what the session is configured for.
+    """
+    wanted = min(MOST_PARTITIONS, math.ceil(input_bytes / PARTITION_BYTES))
+    partitions = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def local_session(cpus: int | str = 8, app: str = "tradewell", **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
