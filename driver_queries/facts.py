@@ -38,8 +38,7 @@ def scd2_current(spark, folder):
     return scd2.current_rows(roles(spark, folder), as_of(), "fecha_fin_validez")
 
 
-@query("scd2_overlap", f"""
-WITH {ROLES},
+OVERLAPPING = f"""{ROLES},
 h AS (
   SELECT cod_rol_erp, empresa_erp, fecha_inicio_validez AS ini, fecha_fin_validez AS fin FROM roles
   UNION ALL
@@ -47,7 +46,11 @@ h AS (
   UNION ALL
   SELECT s_suppkey, empresa_erp, cut, CAST(cut + 3 AS DATE) FROM sellers WHERE s_acctbal < 500
   UNION ALL
-  SELECT s_suppkey, empresa_erp, DATE '2001-03-01', DATE '9999-12-31' FROM sellers WHERE s_acctbal > 9000),
+  SELECT s_suppkey, empresa_erp, DATE '2001-03-01', DATE '9999-12-31' FROM sellers WHERE s_acctbal > 9000)"""
+
+
+@query("scd2_overlap", f"""
+WITH {OVERLAPPING},
 d AS (SELECT cod_rol_erp, empresa_erp, ini, COUNT(*) AS versiones, MAX(fin) AS last_fin, MIN(fin) AS first_fin
       FROM h GROUP BY ALL),
 p AS (SELECT d.*, (SELECT MAX(fin) FROM h WHERE h.cod_rol_erp = d.cod_rol_erp AND h.empresa_erp = d.empresa_erp
@@ -60,9 +63,23 @@ SELECT cod_rol_erp, empresa_erp, ini AS fecha_inicio_validez, versiones, fin_ant
        CASE WHEN covered > 0 THEN covered ELSE gap END AS dias
 FROM c WHERE covered > 0 OR gap > 0""")
 def scd2_overlap(spark, folder):
+    return scd2.overlap_report(overlapping_roles(spark, folder), ROLE_KEYS, *VALIDITY)
+
+
+@query("scd2_close_overlaps", f"""
+WITH {OVERLAPPING},
+u AS (SELECT cod_rol_erp, empresa_erp, ini, MAX(fin) AS fin FROM h GROUP BY ALL),
+n AS (SELECT *, CAST(LEAD(ini) OVER (PARTITION BY cod_rol_erp, empresa_erp ORDER BY ini) - 1 AS DATE) AS tope FROM u)
+SELECT cod_rol_erp, empresa_erp, ini AS fecha_inicio_validez,
+       CASE WHEN tope < fin THEN tope ELSE fin END AS fecha_fin_validez FROM n""")
+def scd2_close_overlaps(spark, folder):
+    return scd2.close_overlaps(overlapping_roles(spark, folder), ROLE_KEYS, *VALIDITY)
+
+
+def overlapping_roles(spark, folder):
+    """Roles, and versions made to overlap them or to leave a gap."""
     history = roles(spark, folder).select(*ROLE_KEYS, *VALIDITY)
     start, end = VALIDITY
-    # Sellers' second versions, and versions made to overlap them or to leave a gap.
     second = history.filter(F.col(start) > day("1900-01-01")).join(
         table(spark, folder, "supplier").select(F.col("s_suppkey").alias("cod_rol_erp"), "s_acctbal"),
         "cod_rol_erp",
@@ -75,7 +92,7 @@ def scd2_overlap(spark, folder):
                F.struct(day("2001-03-01").alias("i"), day("9999-12-31").alias("f"))),
     ))
     made = second.select(*ROLE_KEYS, F.inline(extra)).toDF(*ROLE_KEYS, start, end)
-    return scd2.overlap_report(history.unionByName(made), ROLE_KEYS, start, end)
+    return history.unionByName(made)
 
 
 @query("scd2_apply_changes", f"""

@@ -157,6 +157,15 @@ def test_overlap_report_gap_and_same_start(spark):
     assert rows(scd2.overlap_report(twice, ["k"], "ini", "fin").select("versiones", "estado", "dias")) == [(2, "SOLAPE", 5)]
 
 
+def test_close_overlaps(spark):
+    data = HISTORY + [("v1", 4, "2025-03-01", "2025-05-31"), ("v1", 5, "2025-05-01", "2025-06-30")]
+    out = scd2.close_overlaps(history(spark, data), ["k"], "ini", "fin")
+    assert rows(out.filter("k = 'v1'")) == [
+        ("v1", 1, d("2025-01-01"), d("2025-02-28")), ("v1", 2, d("2025-05-01"), d("9999-12-31")),
+        ("v1", 4, d("2025-03-01"), d("2025-04-30"))]
+    assert scd2.overlap_report(out, ["k"], "ini", "fin").count() == 0
+
+
 def test_current_rows(spark):
     assert rows(scd2.current_rows(history(spark), day("2025-04-01"), "fin").select("id")) == [(2,), (3,)]
 

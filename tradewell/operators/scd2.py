@@ -11,6 +11,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewell.operators.keys import pick_one
+
 OPEN_END = "9999-12-31"  # fixed value
 
 
@@ -102,6 +104,19 @@ def overlap_report(history: DataFrame, keys: list[str], start: str, end: str) ->
     )
 
 
+def close_overlaps(history: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """History in which a later start ends the versions before it, so no fact row is repeated.
+
+    Among versions of one start day the one that ends last stays. A version cut short does
+    not come back after the one that cut it. The window sees one row per key and start day.
+    """
+    starts = pick_one(history, [*keys, start], [end])
+    following = F.lead(start).over(Window.partitionBy(*keys).orderBy(start))
+    return starts.withColumn("__next", F.date_sub(following, 1)).withColumn(
+        end, F.when(F.col("__next") < F.col(end), F.col("__next")).otherwise(F.col(end))
+    ).drop("__next")
+
+
 def apply_changes(
     history: DataFrame, incoming: DataFrame, keys: list[str], tracked: list[str],
     start: str, end: str, as_of: Column,
