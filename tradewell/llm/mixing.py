@@ -30,10 +30,10 @@ def source_targets(sizes: DataFrame, weights: Column, most: float = 3.0) -> Data
         "cap", F.col("source_size").cast("double") * most)
     level = (F.sum(F.col("source_size").cast("double")).over(Window.partitionBy()) - F.coalesce(
         F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    shares = shares.withColumn("level", level)
+    shares = shares.withColumn("step", F.row_number().over(order)).withColumn("level", level)
     # The first source whose limit is not below the level sets it for itself and all after it.
-    shares = shares.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level")))
-                               .over(Window.partitionBy()))
+    first = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("step", "level")))
+    shares = shares.withColumn("level", first.over(Window.partitionBy())["level"])
     return shares.select("source", "source_size", F.coalesce(
         F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 

@@ -123,7 +123,7 @@ levels AS (
   SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight::DOUBLE) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
 targets AS (
-  SELECT source, source_size, least(cap, weight * min(CASE WHEN cap >= level * weight THEN level END) OVER ()) AS target FROM levels),
+  SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, k) FROM levels WHERE cap >= level * weight)) AS target FROM levels),
 keyed AS (
   SELECT *, length(bin(size)) * 4 + CASE rpad(substr(bin(size), 2, 2), 2, '0') WHEN '00' THEN 0 WHEN '01' THEN 1 WHEN '10' THEN 2 ELSE 3 END AS class,
     ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS key FROM sized),
