@@ -17,6 +17,8 @@ from tradewell.llm.common import (
 
 #: Entries of a task's share of the index, and rows of one list before it is dealt out.
 BUCKET, LIST = 1_000_000, 200_000
+#: Sets of one leader that are compared with each other within a task.
+BLOCK_SETS = 1024
 ENTRY = np.dtype([("token", "u8"), ("node", "i8"), ("size", "i4"), ("pos", "i4")])
 
 
@@ -126,10 +128,11 @@ def _lists(texts: DataFrame, words: int, percent: int, weight: np.ndarray, bucke
         collate, "token long, band int, node long, size int, pos int, lead long")
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def overlaps(pairs: DataFrame, texts: DataFrame, words: int, differences: bool = False) -> DataFrame:
     """(a, b, na, nb, o): the exact sizes and intersections of the sets of the pairs (a, b).
 
-    Only texts that occur in a pair are shuffled. The join on ``b`` puts all partners of a set
+    With ``differences`` also the tokens that only b has (gone) and only a has (fresh), where the
+    intersection is at least half of b. Only texts that occur in a pair are shuffled. The join on ``b`` puts all partners of a set
     one after another, so its shingles are computed once per batch.
     """
     pairs = pairs.select("a", "b")
@@ -143,14 +146,89 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             known: dict[int, bytes] = dict(zip(a, texts_of(batch.column("ta")), strict=True))
             known.update(zip(b, texts_of(batch.column("tb")), strict=True))
             sets = dict(zip(known, shingle_sets(known.values(), words), strict=True))
-            out = [(len(sets[x]), len(sets[y]), len(np.intersect1d(sets[x], sets[y], True)))
-                   for x, y in zip(a, b, strict=True)]
-            na, nb, o = zip(*out, strict=True) if out else ((), (), ())
+            out = []
+            for x, y in zip(a, b, strict=True):
+                one, two = sets[x], sets[y]
+                both = np.intersect1d(one, two, True)
+                near = differences and 2 * len(both) >= len(two)
+                out.append((len(one), len(two), len(both), *(
+                    np.setdiff1d(z, both, True).tobytes() if near else None for z in (two, one))))
+            na, nb, o, gone, fresh = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (na, nb, o))],
-                ["a", "b", "na", "nb", "o"])
+                [batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (na, nb, o)),
+                 *(pa.array(x, pa.binary()) for x in (gone, fresh))], ["a", "b", "na", "nb", "o", "gone", "fresh"])
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(measure, "a long, b long, na long, nb long, o long")
+    out = joined.select("a", "b", "ta", "tb").mapInArrow(
+        measure, "a long, b long, na long, nb long, o long, gone binary, fresh binary")
+    return out if differences else out.drop("gone", "fresh")
+
+
+def _derived_links(led: DataFrame, percent: int) -> DataFrame:
+    """(node, root): links between sets with the same leader x, from their differences to x alone.
+
+    With gone(y) = x - y and fresh(y) = y - x, |y & z| = |x| - |gone(y)| - |gone(z)| + |gone(y) & gone(z)|
+    + |fresh(y) & fresh(z)|. Sets that link with x are one class anyway, so only the others are
+    compared with all sets of the leader, block against block; what comes out is a spanning
+    forest of the links within two blocks.
+    """
+    linked = F.col("o") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    rows = led.select(F.col("b").alias("lead"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("nb").alias("of"),
+                      "gone", "fresh", linked.alias("linked"))
+    sizes = rows.groupBy("lead").agg(
+        F.count("*").alias("sets"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("others")).filter("others > 0 and sets > 1")
+    sizes = sizes.select("lead", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(c) for c in ("sets", "others")))
+    rows = rows.join(few(sizes), "lead").withColumn("block", F.xxhash64("node"))
+    every = rows.withColumn("x", F.pmod("block", "sets").cast("int")).withColumn(
+        "y", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("left", F.lit(False))
+    others = rows.filter(~F.col("linked")).withColumn("y", F.pmod("block", "others").cast("int")).withColumn(
+        "x", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).withColumn("left", F.lit(True))
+    columns = [F.pmod(F.xxhash64("lead"), F.lit(256)).alias("g"), "x", "y", "lead", "left", "node", "n", "of", "gone", "fresh"]
+
+    def tokens(rows: pd.DataFrame, which: str) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.frombuffer(v, np.uint64) for v in rows[which]]
+        return np.concatenate(own), np.repeat(np.arange(len(own)), [len(v) for v in own])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"node": [], "root": []}).astype("int64")]
+        for _, rows in pdf.groupby("lead", sort=False):
+            left, right = rows[rows["left"]], rows[~rows["left"]]
+            if not len(left) or not len(right):
+                continue
+            shared = np.zeros((len(left), len(right)), np.int32)
+            for which in ("gone", "fresh"):
+                (lt, lo), (rt, ro) = tokens(left, which), tokens(right, which)
+                order = np.argsort(rt, kind="stable")
+                rt, ro = rt[order], ro[order]
+                low, high = np.searchsorted(rt, lt, "left"), np.searchsorted(rt, lt, "right")
+                for k in np.flatnonzero(high > low).tolist():
+                    shared[lo[k], ro[low[k] : high[k]]] += 1
+            gone = [np.array([len(v) // 8 for v in side["gone"]]) for side in (left, right)]
+            both = int(rows["of"].iloc[0]) - gone[0][:, None] - gone[1][None, :] + shared
+            sizes = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :]
+            a, b = left["node"].to_numpy(), right["node"].to_numpy()
+            i, j = np.nonzero((both * (100 + percent) >= sizes * percent) & (a[:, None] != b[None, :]))
+            if len(i):
+                names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+                i, j = place[i], place[len(a) + j]
+                reach, before = np.arange(len(names)), None
+                while before is None or (reach != before).any():
+                    before = reach.copy()
+                    np.minimum.at(reach, i, before[j])
+                    np.minimum.at(reach, j, before[i])
+                some = np.unique(np.concatenate([i, j]))
+                out.append(pd.DataFrame({"node": names[some], "root": names[reach[some]]}))
+        return pd.concat(out)
+
+    return every.select(columns).union(others.select(columns)).groupBy("g", "x", "y").applyInPandas(
+        compare, "node long, root long")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends are in different classes of ``groups`` (node, component)."""
+    for end in (a, b):
+        own = groups.select(F.col("node").alias(end), F.col("component").alias(f"__{end}"))
+        pairs = pairs.join(few(own), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", end))
+    return pairs.filter(F.col(f"__{a}") != F.col(f"__{b}")).drop(f"__{a}", f"__{b}")
 
 
 def similar_documents(
@@ -164,10 +242,11 @@ def similar_documents(
     1. Rows with the same set become one class, known by a 128-bit digest.
     2. Only a set's rarest tokens are indexed: linked sets share one of their first
        ``prefix_size`` tokens in any common order, here by how many sets a token's slot has met.
-    3. Every set is first compared with one set only, the one that leads most of its lists. If
-       they link, the leader stands for it from then on.
+    3. Every set is first compared with one set only, the one that leads most of its lists. If they
+       share half of it, that set is its leader, and the set is known by its differences to it.
+       Whether two sets of one leader link follows from their differences alone.
     4. Lists are cut into blocks by size band, position, leader and class. Two blocks are
-       skipped if their sizes or positions rule a link out, or if they are already one class.
+       skipped if their sizes or positions rule a link out, or if they have one leader or class.
        For the others the *leaders'* intersection is computed, and the members' answers follow:
        |y & z| <= |lead(y) & lead(z)| + |y - lead(y)| + |z - lead(z)|. Only members that this
        bound leaves open are compared themselves.
@@ -201,12 +280,14 @@ def similar_documents(
     linking = enough(F.col("o"), F.col("na") + F.col("nb"))
     first = index.filter("lead != node").groupBy("node", "lead").count().groupBy("node").agg(
         F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-    first = saved(overlaps(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), texts, words)
-                  .filter(linking), "set-links")
-    groups = components(first)
+    first = saved(overlaps(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), texts, words, True)
+                  .filter("gone is not null"), "set-leaders")
+    derived = saved(_derived_links(first, percent), "set-derived").filter("node != root").toDF("a", "b")
+    links = first.filter(linking).select("a", "b").union(derived)
+    groups = components(links)
 
     led = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), (F.col("na") - F.col("o")).alias("d"))
-    known = saved(groups.join(led, "node", "left"), "set-leaders")
+    known = saved(groups.join(led, "node", "full"), "set-known")
     entries = index.drop("lead").join(few(known), "node", "left").select(
         "token", "band", "node", "size", "pos", F.coalesce("component", "node").alias("component"),
         F.coalesce("leader", "node").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"),
@@ -225,7 +306,7 @@ def similar_documents(
 
     later = side(blocks, "r", ("token",)).withColumn("l_band", F.explode(F.array("r_band", F.col("r_band") - 1)))
     open_blocks = side(blocks, "l", ("token",)).join(later, ["token", "l_band"]).filter(
-        (F.col("l_component") != F.col("r_component"))
+        (F.col("l_component") != F.col("r_component")) & (F.col("l_leader") != F.col("r_leader"))
         & ((F.col("l_band") != F.col("r_band")) | (F.col("l_leader") < F.col("r_leader")))
         & (F.col("l_most") * 100 >= F.col("r_least") * percent)
         & (F.col("r_most") * 100 >= F.col("l_least") * percent)
@@ -233,13 +314,16 @@ def similar_documents(
     open_blocks = saved(open_blocks.withColumn("a", F.greatest("l_leader", "r_leader"))
                         .withColumn("b", F.least("l_leader", "r_leader")), "set-blocks")
     leads = saved(overlaps(open_blocks.select("a", "b").distinct(), texts, words), "set-leads")
-    links = first.select("a", "b").union(leads.filter(linking).select("a", "b"))
+    links = links.union(leads.filter(linking).select("a", "b"))
 
+    # Blocks whose leaders have become one class by now are settled.
     undecided = open_blocks.filter("l_d + r_d > 0").join(few(leads.select("a", "b", "o")), ["a", "b"]).filter(
         enough(F.col("o") + F.col("l_d") + F.col("r_d"), F.col("l_least") + F.col("r_least")))
     undecided = saved(undecided.select(
-        "token", "o", *(f"{s}_{c}" for s in "lr" for c in block[1:])), "set-open")
+        "token", "o", "a", "b", *(f"{s}_{c}" for s in "lr" for c in block[1:])), "set-open")
     if undecided.limit(1).count():
+        groups = saved(components(links), "set-groups")
+        undecided = _apart(undecided, groups, "a", "b")
         for mark in "lr":
             member = side(entries.select(*block, "node", "size", "pos", F.col("d").alias("own")), mark, ("token",))
             undecided = undecided.join(member, ["token", *(f"{mark}_{c}" for c in block[1:])])
