@@ -16,9 +16,9 @@ from tradewell.llm.common import (
 )
 
 #: Distinct runs of one anchor that are compared within a task; more are compared by a shuffle.
-RUNS = 50_000
+RUNS = 20_000
 #: Runs compared in a task.
-GROUP = 20_000
+GROUP = 4_000
 LEVEL = "key long, run long, node long, start long, windows int"
 _FIRST, _SECOND = Rolling(21), Rolling(22)
 
@@ -157,15 +157,18 @@ class SuffixIndexFamily:
 
 def _repeated_windows(segments: list[bytes], long: int) -> list[np.ndarray]:
     """For each segment, which of its windows occur more than once in all of them."""
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    ends = np.cumsum([len(x) for x in segments])
-    one = _FIRST.windows(_FIRST.prefix(data), long)
-    two = _SECOND.windows(_SECOND.prefix(data), long)
-    at = np.concatenate([np.arange(e - len(x), e - long + 1) for e, x in zip(ends, segments, strict=True)])
-    one, two = one[at], two[at]
+    one, two = [], []
+    for at in range(0, len(segments), 500):
+        part = segments[at : at + 500]
+        data = np.frombuffer(b"".join(part), np.uint8)
+        ends = np.cumsum([len(x) for x in part])
+        inside = np.concatenate([np.arange(e - len(x), e - long + 1) for e, x in zip(ends, part, strict=True)])
+        for out, hashes in ((one, _FIRST), (two, _SECOND)):
+            out.append(hashes.windows(hashes.prefix(data), long)[inside])
+    one, two = np.concatenate(one), np.concatenate(two)
     order = np.lexsort((two, one))
     same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    seen = np.zeros(len(at), bool)
+    seen = np.zeros(len(one), bool)
     seen[order[1:]] |= same
     seen[order[:-1]] |= same
     return np.split(seen, np.cumsum([len(x) - long + 1 for x in segments])[:-1])
