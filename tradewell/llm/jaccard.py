@@ -278,7 +278,9 @@ def similar_documents(
         return o * (100 + percent) >= sizes * percent
 
     linking = enough(F.col("o"), F.col("na") + F.col("nb"))
-    first = index.filter("lead != node").groupBy("node", "lead").count().groupBy("node").agg(
+    # A leader without a fair share of common first tokens would not be near; any choice is right.
+    first = index.filter("lead != node").groupBy("node", "lead", "size").count().filter(
+        "count * 40 >= size").groupBy("node").agg(
         F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
     first = saved(overlaps(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), texts, words, True)
                   .filter("gone is not null"), "set-leaders")
@@ -313,7 +315,16 @@ def similar_documents(
         & enough(F.least("l_at", "r_at") + F.least("l_rest", "r_rest"), F.col("l_least") + F.col("r_least")))
     open_blocks = saved(open_blocks.withColumn("a", F.greatest("l_leader", "r_leader"))
                         .withColumn("b", F.least("l_leader", "r_leader")), "set-blocks")
-    leads = saved(overlaps(open_blocks.select("a", "b").distinct(), texts, words), "set-leads")
+    # All tokens that two sets' prefixes share are met here, and beyond the prefix that ends first
+    # no more are left than that set's rest.
+    def rest(size: Column) -> Column:
+        return F.ceil(size * percent / 100) - 1
+
+    met = open_blocks.groupBy("a", "b").agg(
+        F.count_distinct("token").alias("met"), F.min(F.col("l_least") + F.col("r_least")).alias("sizes"),
+        F.max(rest(F.greatest("l_most", "r_most"))).alias("rest"))
+    met = met.filter(enough(F.col("met") + F.col("rest"), F.col("sizes"))).select("a", "b")
+    leads = saved(overlaps(met, texts, words), "set-leads")
     links = links.union(leads.filter(linking).select("a", "b"))
 
     # Blocks whose leaders have become one class by now are settled.
@@ -331,7 +342,10 @@ def similar_documents(
             enough(F.col("o") + F.col("l_own") + F.col("r_own"), F.col("l_size") + F.col("r_size"))
             & enough(F.least("l_pos", "r_pos") + F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos")),
                      F.col("l_size") + F.col("r_size"))
-        ).select(F.greatest("l_node", "r_node").alias("a"), F.least("l_node", "r_node").alias("b")).distinct()
+        ).groupBy(F.greatest("l_node", "r_node").alias("a"), F.least("l_node", "r_node").alias("b")).agg(
+            F.count("*").alias("met"), F.first(F.col("l_size") + F.col("r_size")).alias("sizes"),
+            F.first(rest(F.greatest("l_size", "r_size"))).alias("rest"))
+        pairs = pairs.filter(enough(F.col("met") + F.col("rest"), F.col("sizes"))).select("a", "b")
         links = links.union(overlaps(saved(pairs, "set-pairs"), texts, words).filter(linking).select("a", "b"))
     groups = components(links).withColumnRenamed("node", "rep")
 
