@@ -20,7 +20,9 @@ from tradewell.llm.common import prepare, saved, shared_folder
 #: Bytes of text per file.
 FILE_BYTES = 256 << 20
 #: Words whose ids a task remembers.
-MEMORY = 500_000
+MEMORY = 1_000_000
+#: New words that are encoded at once.
+TOGETHER = 2000
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -35,23 +37,52 @@ class Encoder:
     def __init__(self, path: str, dtype: np.dtype, whole: bool = False):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
         self.known: dict[str, bytes] = {}
+        # A special token cuts a text before anything else looks at it, so it can stand between pieces.
+        self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
+                          if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes pieces that are not known yet, many at once with the mark between them."""
+        new = [x for x in pieces if x not in self.known]
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = list(pieces)
+        if self.mark is None:
+            self.known.update(zip(new, self._pack(new), strict=True))
+            return
+        content, mark = self.mark
+        odd = [x for x in new if content in x]
+        self.known.update(zip(odd, self._pack(odd), strict=True))
+        new = [x for x in new if content not in x]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(content.join(part), add_special_tokens=False).ids, np.int64)
+            cuts = np.flatnonzero(ids == mark)
+            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            edges = zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)
+            self.known.update(zip(part, [packed[a * width : b * width] for a, b in edges], strict=True))
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts; their new pieces are encoded together."""
         if self.whole:
-            return self._pack([text])[0]
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            return self._pack(texts)
+        out: list[bytes] = []
+        parts = [self.pieces(x) for x in texts]
+        self.learn({x for part in parts for x in part})
         known = self.known
-        if new := [x for x in set(pieces) if x not in known]:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._pack(new), strict=True))
-        return b"".join([known[x] for x in pieces])
+        for part in parts:
+            out.append(b"".join([known[x] for x in part]))
+        return out
 
 
 def write_tokens(
@@ -97,12 +128,13 @@ def write_tokens(
         with open(f"{path}.tok", "wb") as tok, open(f"{path}.idx", "wb") as idx, open(f"{path}.doc", "wb") as doc:
             for batch in batches:
                 offsets = []
-                for text in batch.column("text").to_pylist():
-                    ids = encode(text or "")
-                    tok.write(ids)
-                    tok.write(end)
-                    offsets.append(offset)
-                    offset += len(ids) // width + 1
+                for at in range(0, len(batch), 200):
+                    texts = [x or "" for x in batch.column("text").slice(at, 200).to_pylist()]
+                    for ids in encode.batch(texts):
+                        tok.write(ids)
+                        tok.write(end)
+                        offsets.append(offset)
+                        offset += len(ids) // width + 1
                 idx.write(np.array(offsets, "<i8").tobytes())
                 doc.write(np.array([_NO_ID if x is None else x for x in batch.column("id").to_pylist()], "<i8").tobytes())
                 n_docs += len(batch)
