@@ -201,6 +201,7 @@ def _search(texts: list[bytes], parts: list[np.ndarray], tables: dict, similarit
                     while j < len(hashes) and hashes[j] == sample[k]:
                         candidates.add((int(owner[at[k]]), int(item[j]), int(at[k] - offset[j])))
                         j += 1
+    sets = {item: set(parts[item].tolist()) for _, item, _ in candidates}
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for text, item, place in sorted(candidates):
@@ -211,11 +212,10 @@ def _search(texts: list[bytes], parts: list[np.ndarray], tables: dict, similarit
         if any(a <= low and high <= b for a, b in done.get((text, item), ())):
             continue
         done.setdefault((text, item), []).append((low, high))
-        part = words[low:high]
         # So many of its words must be there at all.
-        if np.isin(own, part).sum() < len(own) - most:
+        if len(sets[item].intersection(words[low:high].tolist())) < len(sets[item]) - most:
             continue
-        edits, start, end = best_match(own, part)
+        edits, start, end = best_match(own, words[low:high])
         if edits <= most:
             got = (edits, low + start - int(first[text]), low + end - int(first[text]))
             best[text, item] = min(best.get((text, item), got), got)
