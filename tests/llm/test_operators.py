@@ -322,11 +322,11 @@ def test_toxicity(spark):
     rows, labels = [], []
     for i in range(800):
         toxic = i % 5 == 0
-        text = words(rng, rng.randrange(20, 300), 300)
+        text = ["".join(chr(97 + int(c)) for c in w[1:]) for w in words(rng, rng.randrange(20, 300), 300)]
         if toxic:
             for _ in range(4):
                 text.insert(rng.randrange(len(text)), rng.choice(["vile", "nasty", "awful"]))
-        rows.append((i, " ".join(text).replace("w", "w" + chr(97 + i % 3))))
+        rows.append((i, " ".join(text)))
         labels.append((i, int(toxic)))
     rows += [(900, None), (901, ""), (902, "VILE nasty, awful!")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

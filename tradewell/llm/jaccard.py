@@ -224,10 +224,13 @@ def _derived_links(led: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
-    """The pairs whose ends are in different classes of ``groups`` (node, component)."""
+    """The pairs whose ends are in different classes of ``groups`` (node, component).
+
+    An end is a node, or the node that named its class before.
+    """
     for end in (a, b):
         own = groups.select(F.col("node").alias(end), F.col("component").alias(f"__{end}"))
-        pairs = pairs.join(few(own), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", end))
+        pairs = pairs.join(few(own), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", F.col(end)))
     return pairs.filter(F.col(f"__{a}") != F.col(f"__{b}")).drop(f"__{a}", f"__{b}")
 
 
@@ -301,7 +304,8 @@ def similar_documents(
     block = ["token", "band", "place", "leader", "component"]
     blocks = entries.groupBy(block).agg(
         F.min("size").alias("least"), F.max("size").alias("most"), F.max("pos").alias("at"),
-        F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("d").alias("d"))
+        F.max(F.col("size") - F.col("pos")).alias("rest"), F.max("d").alias("d"),
+        F.max((F.col("node") != F.col("leader")).cast("int")).alias("led"))
 
     def side(df: DataFrame, mark: str, keep: tuple[str, ...] = ()) -> DataFrame:
         return df.select([F.col(c).alias(c if c in keep else f"{mark}_{c}") for c in df.columns])
@@ -327,14 +331,14 @@ def similar_documents(
     leads = saved(overlaps(met, texts, words), "set-leads")
     links = links.union(leads.filter(linking).select("a", "b"))
 
-    # Blocks whose leaders have become one class by now are settled.
-    undecided = open_blocks.filter("l_d + r_d > 0").join(few(leads.select("a", "b", "o")), ["a", "b"]).filter(
+    # Blocks whose sets have become one class by now are settled.
+    undecided = open_blocks.filter("l_led + r_led > 0").join(few(leads.select("a", "b", "o")), ["a", "b"]).filter(
         enough(F.col("o") + F.col("l_d") + F.col("r_d"), F.col("l_least") + F.col("r_least")))
     undecided = saved(undecided.select(
         "token", "o", "a", "b", *(f"{s}_{c}" for s in "lr" for c in block[1:])), "set-open")
     if undecided.limit(1).count():
         groups = saved(components(links), "set-groups")
-        undecided = _apart(undecided, groups, "a", "b")
+        undecided = _apart(undecided, groups, "l_component", "r_component")
         for mark in "lr":
             member = side(entries.select(*block, "node", "size", "pos", F.col("d").alias("own")), mark, ("token",))
             undecided = undecided.join(member, ["token", *(f"{mark}_{c}" for c in block[1:])])

@@ -55,7 +55,7 @@ def copies(
     groups of its class, and its place in the group. A group holds about ``GROUP`` rows however
     large the source is, so no task orders a whole source. Null texts and texts without words have
     size 0, and a source without words has target 0 and takes nothing. Rows that repeat an
-    id and size are interchangeable.
+    id and size are interchangeable. Column names that begin with two underscores are reserved.
     """
     prepare(docs.sparkSession)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -77,8 +77,8 @@ def copies(
     targets = source_targets(sources, F.col("place") % 3 + 1, most)
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("null")))), 1, 8), 16, 10)
     targets = targets.withColumns({
-        "share": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0),
-        "offset": offset.cast("double") / float(1 << 32),
+        "__share": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0),
+        "__offset": offset.cast("double") / float(1 << 32),
     })
 
     def earlier(*by: str):
@@ -92,16 +92,16 @@ def copies(
     starts = starts.join(targets.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).select(
         F.col("source").alias("__source"), F.col("__class").alias("__c"), F.col("__group").alias("__g"),
         (F.col("start") + F.col("within")).alias("__before"), F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"), "share", "offset")
+        F.col("target").alias("__target"), "__share", "__offset")
 
     place = Window.partitionBy(source_col, "__class", "__group").orderBy("__key", id_col, "__size")
     numbered = rows.withColumn("__row", F.row_number().over(place)).join(
         starts, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__class") == F.col("__c"))
         & (F.col("__group") == F.col("__g")))
     upto = F.col("__before") + F.col("__row")
-    crossed = F.floor(upto * F.col("share") + F.col("offset")) - F.floor((upto - 1) * F.col("share") + F.col("offset"))
+    crossed = F.floor(upto * F.col("__share") + F.col("__offset")) - F.floor((upto - 1) * F.col("__share") + F.col("__offset"))
     return numbered.withColumn("__copies", F.least(crossed, F.lit(int(-(-most // 1))).cast("long"))).drop(
-        "__class", "__key", "__group", "__row", "__source", "__c", "__g", "__before", "share", "offset")
+        "__class", "__key", "__group", "__row", "__source", "__c", "__g", "__before", "__share", "__offset")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

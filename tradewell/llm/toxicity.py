@@ -218,6 +218,8 @@ def fit(
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with __score, __predicted and __passages, the significant segments in tokens.
 
+    Column names that begin with two underscores are reserved.
+
     Each text is scored whole, where it is read. Null and empty texts have no evidence and get
     the probability that goes with none.
     """
