@@ -22,8 +22,9 @@ EVENT_FEED = feeds.Feed(
 
 
 @query("src_json_envelope", """
-SELECT event_id, event_type AS empresa_erp, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS valor_k
-FROM events WHERE value >= 1""")
+SELECT event_id, event_type AS empresa_erp, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS valor_k, CAST(2 AS INTEGER) AS posicion
+FROM events WHERE value >= 1
+UNION ALL SELECT event_id, event_type, NULL, 5 FROM events WHERE value >= 1""")
 def src_json_envelope(spark, folder):
     """Each event's JSON text as a payload; small events report an error status."""
     events = table(spark, folder, "events").select(
@@ -31,12 +32,31 @@ def src_json_envelope(spark, folder):
         F.concat(
             F.when(F.col("value") < 1, '{"status":"ERROR","').otherwise('{"status":"OK","'),
             F.when(F.col("event_type") == "click", "Data").otherwise("results"),
-            F.lit('":['), F.col("props"), F.lit(', null]}'),
+            # Items that are no records stand among the records.
+            F.lit('":["x", 5, '), F.col("props"), F.lit(', [1], null, {"otro": 2}]}'),
         ).alias("texto"),
     )
     return feeds.parse_envelopes(events, "texto", EVENT_FEED, ["event_id", "empresa_erp"])
 
 
+@query("src_payload_counts", """
+SELECT event_type AS empresa_erp, CASE WHEN value < 1 THEN 'ERROR' WHEN value < 2 THEN 'ILEGIBLE' ELSE 'OK' END AS estado,
+       COUNT(*) AS archivos, SUM(CASE WHEN value >= 1 AND value < 2 THEN 0 ELSE 3 END)::BIGINT AS elementos,
+       SUM(CASE WHEN value >= 1 AND value < 2 THEN 0 ELSE 2 END)::BIGINT AS omitidos
+FROM events GROUP BY ALL""")
+def src_payload_counts(spark, folder):
+    """Payloads by company and state: usable ones, reported errors and pages that are no JSON."""
+    events = table(spark, folder, "events").select(
+        F.col("event_type").alias("empresa_erp"),
+        F.when(F.col("value") < 1, F.concat(F.lit('{"status":"ERROR","results":[1,'), F.col("props"), F.lit(',"x"]}')))
+        .when(F.col("value") < 2, "<html>no disponible</html>")
+        .otherwise(F.concat(F.lit('{"status":"OK","results":[1,'), F.col("props"), F.lit(',"x"]}'))).alias("texto"),
+    )
+    counts = feeds.envelope_counts(feeds.parsed(events, "texto", EVENT_FEED, ["empresa_erp"]), EVENT_FEED, ["empresa_erp"])
+    return counts.groupBy("empresa_erp", "estado").agg(
+        F.count("*").alias("archivos"), F.sum("elementos").alias("elementos"), F.sum("omitidos").alias("omitidos"))
+
+
 @query("seller_active_filter", """
 SELECT 'V' || c_custkey AS cod_cliente_erp, 'N-' || c_custkey AS nit_documento, c_name AS nombre_vendedor,
        c_mktsegment AS empresa_erp
@@ -55,19 +75,19 @@ def seller_active_filter(spark, folder):
 
 
 COMPANIES = [
-    Company("A", ("00", "06", "09", "11"), "1"), Company("B", ("00", "06"), "1"), Company("C", ("03",)),
+    Company("A", ("02", "05", "13", "21"), "7"), Company("B", ("04", "17"), "7"), Company("C", ("08",)), Company("D", (), "7"),
 ]
 
 
 @query("inventory_flatten", f"""
 WITH {SHIPPED}
 SELECT CAST(l_partkey AS VARCHAR) AS codigo_erp, CAST(l_partkey AS VARCHAR) AS referencia,
-       CASE WHEN p_size <= 20 THEN 'A' WHEN p_size <= 40 THEN 'B' ELSE 'C' END AS empresa_erp,
+       CASE WHEN p_size <= 20 THEN 'A' WHEN p_size <= 40 THEN 'B' WHEN p_size <= 48 THEN 'C' ELSE 'D' END AS empresa_erp,
        lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS cod_bodega_erp, CAST(SUM(cantidad) AS DOUBLE) AS existencia
 FROM shipped JOIN part ON p_partkey = l_partkey
-WHERE (p_size <= 20 AND s_nationkey IN (0, 6, 9, 11) AND p_type IN ('PROMO', 'SMALL', 'LARGE'))
-   OR (p_size BETWEEN 21 AND 40 AND s_nationkey IN (0, 6) AND p_type IN ('PROMO', 'SMALL', 'LARGE'))
-   OR (p_size > 40 AND s_nationkey = 3)
+WHERE (p_size <= 20 AND s_nationkey IN (2, 5, 13, 21) AND p_type IN ('PROMO', 'SMALL', 'LARGE'))
+   OR (p_size BETWEEN 21 AND 40 AND s_nationkey IN (4, 17) AND p_type IN ('PROMO', 'SMALL', 'LARGE'))
+   OR (p_size BETWEEN 41 AND 48 AND s_nationkey = 8)
 GROUP BY ALL""")
 def inventory_flatten(spark, folder):
     stock = shipped(spark, folder)
@@ -85,10 +105,10 @@ def inventory_flatten(spark, folder):
 
     feed = nested_stock.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         code.alias("codigo_erp"), code.alias("referencia"),
-        F.when(F.col("p_size") <= 20, "A").when(F.col("p_size") <= 40, "B").otherwise("C").alias("empresa_erp"),
+        F.when(F.col("p_size") <= 20, "A").when(F.col("p_size") <= 40, "B").when(F.col("p_size") <= 48, "C").otherwise("D").alias("empresa_erp"),
         "Bodegas",
-        F.when(F.col("p_type").isin("PROMO", "SMALL", "LARGE"), lists("2", " 1 "))
-        .when(F.col("p_type") == "ECONOMY", lists("2")).alias("Items"),
+        F.when(F.col("p_type").isin("PROMO", "SMALL", "LARGE"), lists("3", " 7 "))
+        .when(F.col("p_type") == "ECONOMY", lists("3")).alias("Items"),
     )
     return nested.flatten_stock(feed, company_settings(spark, COMPANIES))
 
@@ -106,8 +126,7 @@ e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
 e2 AS (SELECT *, (19*a + b - b//4 - ((b - (b+8)//25 + 1)//3) + 15) % 30 AS h FROM e1),
 e3 AS (SELECT *, (32 + 2*(b%4) + 2*(c//4) - h - c%4) % 7 AS l FROM e2),
 e4 AS (SELECT *, (a + 11*h + 22*l)//451 AS m FROM e3),
-easter AS (SELECT y, make_date(CAST((h+l-7*m+114)//31 AS INTEGER)::BIGINT, CAST((h+l-7*m+114)%31+1 AS INTEGER)::BIGINT, 1) AS x, 
-                  make_date(y::BIGINT, ((h+l-7*m+114)//31)::BIGINT, ((h+l-7*m+114)%31+1)::BIGINT) AS e FROM e4),
+easter AS (SELECT y, make_date(y::BIGINT, ((h+l-7*m+114)//31)::BIGINT, ((h+l-7*m+114)%31+1)::BIGINT) AS e FROM e4),
 fixed AS (SELECT make_date(y::BIGINT, m::BIGINT, n::BIGINT) AS f FROM years, (VALUES (1,1),(5,1),(7,20),(8,7),(12,8),(12,25)) v(m,n)),
 moved AS (SELECT make_date(y::BIGINT, m::BIGINT, n::BIGINT) AS f FROM years,
           (VALUES (1,6),(3,19),(6,29),(8,15),(10,12),(11,1),(11,11)) v(m,n)),
@@ -123,8 +142,7 @@ SELECT d AS fecha_sk, d AS fecha_completa, CAST(year(d) AS INTEGER) AS anio, CAS
        CASE WHEN habil THEN CAST(SUM(CAST(habil AS INTEGER)) OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS INTEGER) END
          AS dia_habil_del_mes,
        CAST(SUM(CAST(habil AS INTEGER)) OVER (PARTITION BY date_trunc('month', d)) AS INTEGER) AS total_dias_habiles_mes
-FROM base)""".replace("""make_date(CAST((h+l-7*m+114)//31 AS INTEGER)::BIGINT, CAST((h+l-7*m+114)%31+1 AS INTEGER)::BIGINT, 1) AS x, 
-                  """, "")
+FROM base)"""
 
 
 def order_days(spark, folder):
@@ -308,19 +326,29 @@ def gate_unmatched_products(spark, folder):
 
 
 @query("validated_reload", """
-SELECT c_custkey + 1 AS id_maestro_cliente_fk, c_mktsegment AS canal, DATE '1995-01-01' AS fecha_inicio_validez
-FROM customer WHERE c_acctbal >= 0""")
+SELECT c_custkey AS cod, CASE WHEN c_acctbal >= 0 THEN c_custkey + 1 END AS id_maestro_cliente_fk, c_mktsegment AS canal,
+       CASE WHEN c_acctbal >= 0 THEN 'CARGADO' ELSE 'SIN MAESTRO' END AS estado
+FROM customer""")
 def validated_reload(spark, folder):
-    """The whole classification, loaded only because every row has its master client."""
+    """The whole classification meets the gate, which stops it and reports the rows without a
+    master client; without those rows the gate lets it pass."""
     master = clients(spark, folder)
-    classification = table(spark, folder, "customer").filter(F.col("c_acctbal") >= 0).select(
+    classification = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("cod"), F.col("c_mktsegment").alias("canal")
     )
     on = {"cod": "cod_cliente_erp"}
-    quality.gate(quality.unmatched(classification, master, on), "classification")
-    return lookup(classification, master, on, {"id_cliente_empresa": "id_maestro_cliente_fk"}).select(
-        "id_maestro_cliente_fk", "canal", day("1995-01-01").alias("fecha_inicio_validez")
-    )
+    lost = quality.unmatched(classification, master, on)
+    try:
+        quality.gate(lost, "classification")
+    except quality.GateError:
+        classification = classification.join(lost.select("cod"), "cod", "left_anti")
+        quality.gate(quality.unmatched(classification, master, on), "classification")
+    else:
+        lost = lost.limit(0)
+    loaded = lookup(classification, master, on, {"id_cliente_empresa": "id_maestro_cliente_fk"})
+    columns = ["cod", "id_maestro_cliente_fk", "canal", "estado"]
+    return loaded.withColumn("estado", F.lit("CARGADO")).select(columns).unionByName(lost.withColumns({
+        "id_maestro_cliente_fk": F.lit(None).cast("bigint"), "estado": F.lit("SIN MAESTRO")}).select(columns))
 
 
 @query("dq_unique", """

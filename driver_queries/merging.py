@@ -9,7 +9,6 @@ from driver_queries.frames import (
 )
 from tradewell.functions import text
 from tradewell.operators import keys, lookup, merge
-from tradewell.operators.sizing import spread
 from tradewell.plans.marts import Star, sums_by
 
 LAST_ORDER = """SELECT o_custkey AS cliente, fecha, o_orderpriority AS prioridad, valor FROM (
@@ -29,8 +28,8 @@ def _last_order(spark, folder, condition):
 
 
 @query("upsert_full", f"""
-WITH t AS ({LAST_ORDER.format(where="o_orderdate < DATE '1996-06-01'")}),
-     s AS ({LAST_ORDER.format(where="o_orderdate >= DATE '2000-01-01'")})
+WITH t AS ({LAST_ORDER.format(where="o_orderdate < DATE '1998-06-01'")}),
+     s AS ({LAST_ORDER.format(where="o_orderdate >= DATE '1998-06-01'")})
 SELECT COALESCE(s.cliente, t.cliente) AS cliente,
        CASE WHEN s.cliente IS NOT NULL THEN s.fecha ELSE t.fecha END AS fecha,
        CASE WHEN s.cliente IS NOT NULL THEN s.prioridad ELSE t.prioridad END AS prioridad,
@@ -38,8 +37,8 @@ SELECT COALESCE(s.cliente, t.cliente) AS cliente,
 FROM t FULL JOIN s ON s.cliente = t.cliente""")
 def upsert_full(spark, folder):
     placed = F.col("o_orderdate").cast("date")
-    target = _last_order(spark, folder, placed < day("1996-06-01"))
-    source = _last_order(spark, folder, placed >= day("2000-01-01"))
+    target = _last_order(spark, folder, placed < day("1998-06-01"))
+    source = _last_order(spark, folder, placed >= day("1998-06-01"))
     return doubles(merge.upsert(target, source, ["cliente"]), "valor")
 
 
@@ -102,10 +101,10 @@ def link_fill_null(spark, folder):
 
 OLD_STOCK = """old AS (
   SELECT l_partkey AS producto, s_nationkey AS bodega, CAST(SUM(cantidad) AS DOUBLE) AS cantidad
-  FROM shipped WHERE dia < DATE '1996-01-01' GROUP BY ALL)"""
+  FROM shipped WHERE dia < DATE '1998-06-01' GROUP BY ALL)"""
 NEW_STOCK = """fresh AS (
   SELECT l_partkey AS producto, s_nationkey AS bodega, CAST(SUM(cantidad) AS DOUBLE) AS cantidad
-  FROM shipped WHERE dia >= DATE '2001-06-01' GROUP BY ALL)"""
+  FROM shipped WHERE dia >= DATE '1998-06-01' GROUP BY ALL)"""
 
 
 def _stock(spark, folder, **span):
@@ -127,12 +126,12 @@ SELECT COALESCE(s.id_producto_fk, t.id_producto_fk) AS id_producto_fk,
        CASE WHEN s.id_producto_fk IS NULL THEN DATE '1996-01-01' ELSE DATE '2001-08-01' END AS fecha
 FROM s FULL JOIN t USING (id_producto_fk, id_bodega_fk)""")
 def inventory_current(spark, folder):
-    old = _stock(spark, folder, before="1996-01-01").select(
+    old = _stock(spark, folder, before="1998-06-01").select(
         (F.col("producto") + 1).alias("id_producto_fk"),
         (F.col("bodega") + 1).cast("bigint").alias("id_bodega_fk"), "cantidad",
         day("1996-01-01").alias("fecha"),
     )
-    feed = _stock(spark, folder, since="2001-06-01").withColumns({
+    feed = _stock(spark, folder, since="1998-06-01").withColumns({
         "__code": F.lpad(F.col("bodega").cast("string"), 2, "0"),
         "__ref": F.col("producto").cast("string"), "fecha": day("2001-08-01"),
     })
@@ -159,10 +158,10 @@ WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.fecha_snapshot = DATE '2001-08-01'
                   AND h.producto = f.producto AND h.bodega = f.bodega)""")
 def inventory_snapshot_append(spark, folder):
     # Part of the history is a snapshot of that very day.
-    history = _stock(spark, folder, before="1996-01-01").withColumn(
+    history = _stock(spark, folder, before="1998-06-01").withColumn(
         "fecha_snapshot", F.when(F.col("cantidad") > 40, day("2001-08-01")).otherwise(day("1996-01-01"))
     )
-    current = _stock(spark, folder, since="2001-06-01")
+    current = _stock(spark, folder, since="1998-06-01")
     return merge.append_snapshot(
         history, current, ["producto", "bodega"], "fecha_snapshot", day("2001-08-01")
     )
@@ -217,7 +216,7 @@ LEFT JOIN nation cn ON cn.n_nationkey = c_nationkey LEFT JOIN nation sn ON sn.n_
 GROUP BY ALL""")
 def lookup_role_playing(spark, folder):
     nations = table(spark, folder, "nation")
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey").join(
+    lines = table(spark, folder, "lineitem").join(
         table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     # One lookup table in two roles.

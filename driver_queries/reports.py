@@ -100,12 +100,12 @@ def mart_inventory_trend(spark, folder):
 WITH {SALES}, {SHIPPED},
 v AS (SELECT bodega_erp AS bodega, SUM(valor_base) AS valor, SUM(cantidad) AS vendido FROM sales GROUP BY 1),
 s AS (SELECT lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS bodega, SUM(cantidad) AS existencia FROM shipped
-      WHERE dia >= DATE '2001-06-01' GROUP BY 1)
+      GROUP BY 1)
 SELECT bodega, CAST(valor AS DOUBLE) AS valor, CAST(vendido AS DOUBLE) AS vendido, CAST(existencia AS DOUBLE) AS existencia
 FROM v FULL JOIN s USING (bodega)""")
 def mart_drill_across(spark, folder):
     sold = sales(spark, folder).withColumnRenamed("bodega_erp", "bodega")
-    stock = shipped(spark, folder, since="2001-06-01").withColumn(
+    stock = shipped(spark, folder).withColumn(
         "bodega", F.lpad(F.col("s_nationkey").cast("string"), 2, "0")
     )
     return doubles(marts.drill_across(
@@ -362,32 +362,35 @@ def _average(weight: str, value: str) -> str:
 
 
 @query("comm_rule_tree", f"""
-WITH l AS (SELECT c_nationkey AS n, CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 2 ELSE 1 END AS w,
-                  CAST(c_acctbal AS DECIMAL(12,2)) AS v FROM customer WHERE c_acctbal >= 0),
-n1 AS (SELECT n, CAST({_average("w", "v")} AS DECIMAL(18,4)) AS v FROM l GROUP BY 1),
-r1 AS (SELECT n_regionkey AS r, CAST({_average("(n_nationkey + 1)", "v")} AS DECIMAL(18,4)) AS v
-       FROM n1 JOIN nation ON n_nationkey = n GROUP BY 1),
-t1 AS (SELECT CAST({_average("(r + 1)", "v")} AS DECIMAL(18,4)) AS v FROM r1)
-SELECT 'N' || n AS item, CAST(2 AS INTEGER) AS nivel, CAST(v AS DOUBLE) AS valor FROM n1
-UNION ALL SELECT 'R' || r, 1, CAST(v AS DOUBLE) FROM r1 UNION ALL SELECT 'T0', 0, CAST(v AS DOUBLE) FROM t1""")
+WITH l AS (SELECT c_mktsegment AS rol, c_nationkey AS n, CAST(c_custkey % 3 + 1 AS INTEGER) AS w, CAST(c_acctbal AS DECIMAL(12,2)) AS v
+           FROM customer WHERE c_acctbal >= 0),
+n1 AS (SELECT rol, n, CAST({_average("w", "v")} AS DECIMAL(18,4)) AS v FROM l GROUP BY ALL),
+-- the nations of region 4 hang on the top itself
+r1 AS (SELECT rol, n_regionkey AS r, CAST({_average("(n_nationkey + 1)", "v")} AS DECIMAL(18,4)) AS v
+       FROM n1 JOIN nation ON n_nationkey = n WHERE n_regionkey < 4 GROUP BY ALL),
+c1 AS (SELECT rol, r + 1 AS w, v FROM r1 UNION ALL SELECT rol, n_nationkey + 1, v FROM n1 JOIN nation ON n_nationkey = n WHERE n_regionkey = 4),
+t1 AS (SELECT rol, CAST({_average("w", "v")} AS DECIMAL(18,4)) AS v FROM c1 GROUP BY ALL)
+SELECT rol, 'N' || n AS item, CASE WHEN n_regionkey < 4 THEN 2 ELSE 1 END::INTEGER AS nivel, CAST(v AS DOUBLE) AS valor FROM n1 JOIN nation ON n_nationkey = n
+UNION ALL SELECT rol, 'R' || r, 1, CAST(v AS DOUBLE) FROM r1 UNION ALL SELECT rol, 'T', 0, CAST(v AS DOUBLE) FROM t1""")
 def comm_rule_tree(spark, folder):
-    """Nations under regions under one top; customers are the leaves, some without a value."""
+    """A tree of unequal depth for each segment; customers are the leaves, some without a value."""
     def name(prefix, column):
         return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
-    regions = table(spark, folder, "region").select(
-        name("R", "r_regionkey").alias("item"), F.concat(F.lit("T"), F.expr("r_regionkey div 100")).alias("padre"), (F.col("r_regionkey") + 1).alias("peso"))
+    top = F.col("n_regionkey") == 4
+    regions = table(spark, folder, "region").filter("r_regionkey < 4").select(
+        name("R", "r_regionkey").alias("item"), F.lit("T").alias("padre"), (F.col("r_regionkey") + 1).alias("peso"))
     nations = table(spark, folder, "nation").select(
-        name("N", "n_nationkey").alias("item"), name("R", "n_regionkey").alias("padre"), (F.col("n_nationkey") + 1).alias("peso"))
-    top = regions.select("padre").distinct().select(
+        name("N", "n_nationkey").alias("item"), F.when(top, "T").otherwise(name("R", "n_regionkey")).alias("padre"),
+        (F.col("n_nationkey") + 1).alias("peso"))
+    tops = regions.select("padre").distinct().select(
         F.col("padre").alias("item"), F.lit(None).cast("string").alias("padre"), F.lit(1).alias("peso"))
     leaves = table(spark, folder, "customer").select(
-        name("N", "c_nationkey").alias("padre"),
-        F.when(F.col("c_mktsegment") == "BUILDING", 3).when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(1).alias("peso"),
+        F.col("c_mktsegment").alias("rol"), name("N", "c_nationkey").alias("padre"), (F.col("c_custkey") % 3 + 1).cast("int").alias("peso"),
         F.when(F.col("c_acctbal") >= 0, money("c_acctbal")).alias("valor"),
     )
-    tree = top.unionByName(regions).unionByName(nations)
-    return doubles(hierarchy.weighted_tree(tree, leaves, "item", "padre", "peso", "valor", 3), "valor")
+    tree = tops.unionByName(regions).unionByName(nations)
+    return doubles(hierarchy.weighted_tree(tree, leaves, "item", "padre", "peso", "valor", ["rol"]), "valor")
 
 
 @query("comm_rule_params", """

@@ -11,7 +11,7 @@ from tests.conftest import rows
 from tradewell.functions.text import blank_to, feed_date, feed_number, standard_text, strip_text
 from tradewell.operators import audit, calendar, enrich, hierarchy, keys, lookup, merge, quality, reconcile, scd2
 from tradewell.operators.nested import flatten_stock
-from tradewell.operators.sizing import broadcast_limit, estimated_bytes, is_small, spread
+from tradewell.operators.sizing import broadcast_limit, estimated_bytes, is_small
 from tradewell.sources.settings import Company, company_settings
 
 
@@ -56,14 +56,14 @@ def test_sizes(spark, sized):
     assert broadcast_limit(df) == (2 << 20 if sized == "small" else -1)
 
 
-def test_spread_leaves_large_tables_alone(spark):
-    df = spark.range(1000)
-    assert "Exchange" in spread(df, "id")._jdf.queryExecution().toString()
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1kb")
+def test_sizes_of_exploded_and_local_rows_are_counted(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100kb")
     try:
-        assert spread(df, "id") is df
+        few = spark.createDataFrame([(i,) for i in range(10)], "k long")
+        many = spark.range(100).select(F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("k"))
+        assert is_small(few) and not is_small(many)
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # --- keys ------------------------------------------------------------------------------
@@ -84,7 +84,7 @@ def test_assign_ids(spark):
     df = spark.createDataFrame([("a", 7), ("b", None), ("c", None), ("e", 3)], "k string, id bigint")
     first = dict(rows(keys.assign_ids(df, ["k"], "id")))
     assert first["a"] == 7 and first["e"] == 3 and {first["b"], first["c"]} == {8, 9}
-    assert dict(rows(keys.assign_ids(df, ["k"], "id", buckets=1)))["b"] == 8
+    assert dict(rows(keys.assign_ids(df, ["k"], "id", bucket_rows=100)))["b"] == 8
     other = spark.createDataFrame([("z", 50)], "k string, id bigint")
     assert {v for v in dict(rows(keys.assign_ids(df, ["k"], "id", other))).values()} == {7, 3, 51, 52}
     empty = spark.createDataFrame([("a", None)], "k string, id bigint")
@@ -355,8 +355,46 @@ def test_rollup_to_ancestors(spark):
         hierarchy.rollup_to_ancestors(loop, amounts.limit(0).union(spark.createDataFrame([(1, 1)], "n int, a int")), "n", "p", "a", 3)
 
 
+def test_rollup_of_deep_links(spark):
+    edges = spark.createDataFrame([(i, i - 1 if i else None) for i in range(45)], "n int, p int")
+    out = dict((r.n, r.acumulado) for r in hierarchy.rollup_to_ancestors(
+        edges, edges.select("n", F.lit(1).alias("a")), "n", "p", "a", look=8).collect())
+    assert out == {i: 45 - i for i in range(45)}
+
+
 def test_weighted_tree_with_leaves_on_two_levels(spark):
-    nodes = spark.createDataFrame([("T", None, 1.0), ("A", "T", 3.0), ("B", "T", 1.0)], "n string, p string, w double")
-    leaves = spark.createDataFrame([("A", 1.0, 10.0), ("A", 1.0, 20.0), ("B", 2.0, 8.0), ("B", 5.0, None), ("T", 4.0, 1.0)], "p string, w double, v double")
-    out = hierarchy.weighted_tree(nodes, leaves, "n", "p", "w", "v", 2)
-    assert {(r.n, float(r.v)) for r in out.collect()} == {("A", 15.0), ("B", 8.0), ("T", (45 + 8 + 4) / 8)}
+    nodes = spark.createDataFrame([("T", None, 1.0), ("A", "T", 3.0), ("B", "T", 1.0), ("C", "A", 2.0)], "n string, p string, w double")
+    leaves = spark.createDataFrame([
+        ("x", "A", 1.0, 10.0), ("x", "A", 1.0, 20.0), ("x", "B", 2.0, 8.0), ("x", "B", 5.0, None), ("x", "T", 4.0, 1.0),
+        ("y", "C", 1.0, 6.0)], "rol string, p string, w double, v double")
+    out = hierarchy.weighted_tree(nodes, leaves, "n", "p", "w", "v", ["rol"])
+    assert {(r.rol, r.n, r.nivel, float(r.v)) for r in out.collect()} == {
+        ("x", "A", 1, 15.0), ("x", "B", 1, 8.0), ("x", "T", 0, (45 + 8 + 4) / 8),
+        ("y", "C", 2, 6.0), ("y", "A", 1, 6.0), ("y", "T", 0, 6.0)}
+
+
+@pytest.mark.parametrize("lost", [("X", "unknown"), ("X", "X")])
+def test_nodes_that_no_top_reaches_are_an_error(spark, lost):
+    nodes = spark.createDataFrame([("T", None, 1.0), (*lost, 1.0)], "n string, p string, w double")
+    leaves = spark.createDataFrame([("X", 1.0, 6.0)], "p string, w double, v double")
+    with pytest.raises(ValueError, match="1 nodes"):
+        hierarchy.weighted_tree(nodes, leaves, "n", "p", "w", "v")
+
+
+def test_null_keys_meet_in_a_comparison(spark):
+    one = spark.createDataFrame([(None, "a"), ("k", "b")], "k string, v string")
+    assert rows(reconcile.compare(one, one, ["k"], ["v"]).select("lado")) == [("AMBOS",), ("AMBOS",)]
+
+
+def test_both_formulations_of_a_report_have_one_type(spark):
+    from tradewell.plans import marts
+
+    fact = spark.range(50).select((F.col("id") % 5).alias("p"), F.col("id").cast("decimal(18,4)").alias("v"))
+    products = spark.range(5).select(F.col("id").alias("c"), (F.col("id") % 2).alias("g"))
+    found = []
+    for limit in ("10mb", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        out = marts.sums_by(fact, {"v": F.col("v")}, [marts.Star(products, "p", "c", {"g": "g"})], ["g"])
+        found.append((out.dtypes, rows(out)))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and ("v", "decimal(28,4)") in found[0][0]

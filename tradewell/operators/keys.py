@@ -35,16 +35,18 @@ def require_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def assign_ids(
     df: DataFrame, keys: list[str], id_column: str, existing: DataFrame | None = None,
-    buckets: int = 1024,
+    bucket_rows: int = 100_000,
 ) -> DataFrame:
     """Fill null ids with consecutive numbers above every id in use.
 
-    Rows that have an id keep it. New rows are hashed into ``buckets`` by their (unique)
-    key; a bucket's ids follow those of the buckets before it. The only window without a
+    Rows that have an id keep it. New rows are counted and hashed into buckets of about
+    ``bucket_rows`` by their (unique) key; a bucket's ids follow those of the buckets before it. The only window without a
     wide partitioning key runs over one row per bucket. The numbering depends on nothing
     but the keys, so a task that is run again gives the same ids.
     """
-    new = df.filter(F.col(id_column).isNull()).withColumn(
+    new = df.filter(F.col(id_column).isNull())
+    buckets = new.count() // bucket_rows + 1
+    new = new.withColumn(
         "__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     )
     in_use = df if existing is None else existing
@@ -65,7 +67,7 @@ def assign_ids(
     within = Window.partitionBy("__bucket").orderBy(*keys)
     numbered = (
         new.withColumn("__rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), F.col("__bucket") == F.col("__b"))  # at most buckets + 1 rows
+        .join(offsets, F.col("__bucket") == F.col("__b"))
         .withColumn(id_column, (F.col("__offset") + F.col("__rank")).cast(df.schema[id_column].dataType))
         .select(*df.columns)
     )

@@ -32,21 +32,31 @@ class ForeignKey:
 def orphan_counts(foreign_keys: list[ForeignKey]) -> DataFrame:
     """One row per foreign key: ``fk``, orphan rows, distinct orphan values and nulls.
 
-    Child rows are counted per value before the join, so the join sees each value once.
+    A child is read once for all its keys: its rows become (fk, value) pairs, counted per pair
+    before the join, so the join sees each value once. Values are compared as texts.
     """
-
-    def one(fk: ForeignKey) -> DataFrame:
-        values = fk.child.groupBy(F.col(fk.column).alias("__v")).agg(F.count("*").alias("__n"))
-        known = fk.parent.select(F.col(fk.parent_column).alias("__v"))
-        lost = values.join(known, "__v", "left_anti")
-        null = F.col("__v").isNull()
-        return lost.agg(
-            F.coalesce(F.sum(F.when(~null, F.col("__n"))), F.lit(0)).alias("filas_huerfanas"),
-            F.count_if(~null).alias("valores_huerfanos"),
-            F.coalesce(F.sum(F.when(null, F.col("__n"))), F.lit(0)).alias("filas_nulas"),
-        ).select(F.lit(fk.name).alias("fk"), "filas_huerfanas", "valores_huerfanos", "filas_nulas")
-
-    return reduce(DataFrame.unionByName, map(one, foreign_keys))
+    children: dict[int, list[ForeignKey]] = {}
+    for fk in foreign_keys:
+        children.setdefault(id(fk.child), []).append(fk)
+
+    def pairs(own: list[ForeignKey]) -> DataFrame:
+        return own[0].child.select(F.inline(F.array(*[
+            F.struct(F.lit(fk.name).alias("fk"), F.col(fk.column).cast("string").alias("__v")) for fk in own
+        ])))
+
+    counts = reduce(DataFrame.unionByName, map(pairs, children.values())).groupBy("fk", "__v").agg(
+        F.count("*").alias("__n"))
+    names = foreign_keys[0].child.sparkSession.createDataFrame(
+        [(fk.name, None, 0) for fk in foreign_keys], "fk string, __v string, __n long")
+    known = reduce(DataFrame.unionByName, [fk.parent.select(
+        F.lit(fk.name).alias("fk"), F.col(fk.parent_column).cast("string").alias("__v")) for fk in foreign_keys])
+    lost = counts.unionByName(names).join(known.filter(F.col("__v").isNotNull()), ["fk", "__v"], "left_anti")
+    null = F.col("__v").isNull()
+    return lost.groupBy("fk").agg(
+        F.coalesce(F.sum(F.when(~null, F.col("__n"))), F.lit(0)).alias("filas_huerfanas"),
+        F.count_if(~null).alias("valores_huerfanos"),
+        F.coalesce(F.sum(F.when(null, F.col("__n"))), F.lit(0)).alias("filas_nulas"),
+    )
 
 
 @dataclass(frozen=True)

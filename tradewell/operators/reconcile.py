@@ -16,7 +16,7 @@ def compare(
     ours: DataFrame, theirs: DataFrame, keys: list[str], columns: list[str],
     normalise: Callable[[Column], Column] = standard_text,
 ) -> DataFrame:
-    """Full outer comparison, both sides unique by key.
+    """Full outer comparison, both sides unique by key; null keys match each other.
 
     Columns: the keys; ``lado`` (``NUESTRO``, ``SUYO`` or ``AMBOS``); ``cambios``, the names
     of compared columns whose normalised values differ; and each column as
@@ -31,7 +31,7 @@ def compare(
         *[F.col(c).alias(f"{c}_suyo") for c in columns],
     )
     joined = a.join(
-        b, reduce(and_, [F.col(f"__a_{k}") == F.col(f"__b_{k}") for k in keys]), "full_outer"
+        b, reduce(and_, [F.col(f"__a_{k}").eqNullSafe(F.col(f"__b_{k}")) for k in keys]), "full_outer"
     )
     in_a, in_b = F.col("__a").isNotNull(), F.col("__b").isNotNull()
     differs = [

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame. Joins are over-estimated, never under."""
+    """Catalyst's size estimate of a frame: above the truth for joins, below it for exploded arrays."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
 
@@ -25,16 +25,14 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether Spark would broadcast the frame without any hint."""
-    return estimated_bytes(df) <= broadcast_limit(df)
+    """Whether the frame fits below the size that Spark broadcasts without any hint.
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a table of no more than one input split by ``keys``.
-
-    Such a table can be a single row group, which one task would carry through all
-    broadcast joins behind it. Larger tables come in many splits and stay as they are.
+    The estimate misses the rows that an exploded array adds, and knows nothing of local rows; there
+    the rows are counted, up to the limit.
     """
-    if estimated_bytes(df) > _bytes_setting(df, "spark.sql.files.maxPartitionBytes"):
-        return df
-    return df.repartition(*keys)
+    limit = broadcast_limit(df)
+    plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+    if limit < 0 or not ("Generate " in plan or "LogicalRDD" in plan):
+        return estimated_bytes(df) <= limit
+    width = 8 + int(df._jdf.schema().defaultSize())
+    return df.limit(limit // width + 1).count() <= limit // width

@@ -28,20 +28,23 @@ def sum_of_base(
 ) -> DataFrame:
     """Base value by rule item, role and period.
 
-    A line is doubled for its two scopes where it is read; one aggregation follows.
+    Lines are summed by role, period and line first; only those sums are doubled for their two
+    scopes and meet the items, so no scope holds a large share of the fact's rows.
     """
-    scoped = sales.select(role, period, value, _scopes(line).alias("__scope"))
+    sums = sales.groupBy(role, period, line).agg(F.sum(value).alias("__v"))
+    scoped = sums.select(role, period, "__v", _scopes(line).alias("__scope"))
     return (
-        scoped.join(_items(items, SUM_OF_BASE), "__scope")
-        .groupBy("id_item_regla", role, period).agg(F.sum(value).alias("valor_logrado"))
+        scoped.join(_items(items, SUM_OF_BASE), "__scope").groupBy("id_item_regla", role, period)
+        .agg(F.sum("__v").cast(sums.schema["__v"].dataType).alias("valor_logrado"))
     )
 
 
 def client_impacts(
     sales: DataFrame, role: str, period: str, line: str, client: str, items: DataFrame
 ) -> DataFrame:
-    """Distinct clients sold to by rule item, role and period."""
-    scoped = sales.select(role, period, client, _scopes(line).alias("__scope"))
+    """Distinct clients sold to by rule item, role and period, from distinct clients per line."""
+    sold = sales.select(role, period, line, client).distinct()
+    scoped = sold.select(role, period, client, _scopes(line).alias("__scope"))
     return (
         scoped.join(_items(items, CLIENT_IMPACTS), "__scope")
         .groupBy("id_item_regla", role, period)

@@ -1,8 +1,8 @@
 """Reports on the star schema.
 
-A fact row is never shuffled for a lookup: dimensions that may be broadcast are joined where
-the row is read, and for larger ones the fact is first reduced to its foreign keys and days,
-so a key that holds a large share of the rows is one row per day when it is shuffled.
+Dimensions that may be broadcast are joined where the fact row is read; for larger ones the fact
+is first reduced to its foreign keys and days, so a key that holds a large share of the rows
+is one row per day when it is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from tradewell.operators.scd2 import point_in_time
 from tradewell.operators.sizing import is_small
 
 
+def _typed(result: DataFrame, fact: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Sums of sums in the type of one sum, so that both formulations of a report agree."""
+    types = fact.agg(*[F.sum(c).alias(n) for n, c in measures.items()], F.count("*").alias("lineas")).schema
+    return result.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in types})
+
+
 @dataclass(frozen=True)
 class Star:
     """A dimension of a report: its key, the fact's key and the attributes to take."""
@@ -54,9 +60,9 @@ def sums_by(
     )
     for star in stars:
         result = lookup(result, star.table, {star.fk: star.key}, star.take)
-    return result.groupBy(*by).agg(
+    return _typed(result.groupBy(*by).agg(
         *[F.sum(name).alias(name) for name in measures], F.sum("lineas").alias("lineas")
-    )
+    ), fact, measures)
 
 
 def rollup_levels(grouped: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
@@ -166,9 +172,9 @@ def sums_as_of(
             *[F.sum(c).alias(n) for n, c in measures.items()], F.count("*").alias("lineas")
         )
     dated = point_in_time(rows, history, {key: on}, day, start, end, take)
-    return dated.groupBy(*groups).agg(
+    return _typed(dated.groupBy(*groups).agg(
         *[F.sum(n).alias(n) for n in measures], F.sum("lineas").alias("lineas")
-    )
+    ), fact, measures)
 
 
 def category_as_of(

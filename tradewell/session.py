@@ -26,9 +26,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# A shuffle partition should fit in a task's memory; more than so many cost more than they save.
+# A shuffle partition should fit in a task's memory.
 PARTITION_BYTES = 256 << 20
-MOST_PARTITIONS = 20000
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
@@ -36,7 +35,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
 
     Never below what the session is configured for.
     """
-    wanted = min(MOST_PARTITIONS, math.ceil(input_bytes / PARTITION_BYTES))
+    wanted = math.ceil(input_bytes / PARTITION_BYTES)
     partitions = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
     return partitions
