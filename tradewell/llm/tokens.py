@@ -23,6 +23,8 @@ FILE_BYTES = 256 << 20
 MEMORY = 1_000_000
 #: New words that are encoded at once.
 TOGETHER = 2000
+#: Letters that a tokenizer is asked about, and marks that often stand behind a word.
+LETTERS, TRAILING = "abcdefghijklmnopqrstuvwxyz", tuple(".,;:!?")
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -32,10 +34,14 @@ class Encoder:
     The tokenizer splits at white space before anything else, so the ids of a text are those of
     its pieces between spaces, tabs and line ends; pieces that have been seen are not encoded
     again. ``whole`` encodes texts at once, for tokenizers of another kind.
+
+    What the tokenizer does to letters is asked of it once: if it lowers case, A-Z are lowered
+    first; if it parts a word from the mark behind it, the two are encoded apart; if it leaves words of
+    a-z as they are, those go to its model without its normalizer and patterns.
     """
 
     def __init__(self, path: str, dtype: np.dtype, whole: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
@@ -43,30 +49,82 @@ class Encoder:
         # A special token cuts a text before anything else looks at it, so it can stand between pieces.
         self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                           if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+
+        def parts(text: str) -> list[str]:
+            text = normal.normalize_str(text) if normal else text
+            return [x for x, _ in split.pre_tokenize_str(text)] if split else [text]
+
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowers = parts(LETTERS.upper()) == [LETTERS] and not any(x.isalpha() for x in added)
+        self.trims = all(parts(f"ab{x} ab") == ["ab", x, "ab"] for x in TRAILING)
+        self.plain = None
+        if parts(f"{LETTERS} ab") == [LETTERS, "ab"]:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _between(self, texts: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        self.known.update(zip(texts, [
+            packed[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)], strict=True))
+
+    def _learn_words(self, words: list[str], tokenizer) -> list[str]:
+        """Encodes words of letters with spaces between; returns those that are not one part each."""
+        odd: list[str] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            made = tokenizer.encode(" ".join(some), add_special_tokens=False)
+            owner = np.array([-1 if x is None else x for x in made.word_ids], np.int64)
+            first = np.flatnonzero(np.diff(owner, prepend=-2))
+            # Each word makes one part at least, so as many parts as words is one for each.
+            if len(first) == len(some) and (owner >= 0).all():
+                self._between(some, np.array(made.ids, np.int64), first, np.append(first[1:], len(owner)))
+            else:
+                odd += some
+        return odd
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Encodes pieces of any kind, many at once with the mark between them."""
+        content, mark = self.mark or (None, None)
+        alone = pieces if content is None else [x for x in pieces if content in x]
+        self.known.update(zip(alone, self._pack(alone), strict=True))
+        rest = [] if content is None else [x for x in pieces if content not in x]
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(content.join(some), add_special_tokens=False).ids, np.int64)
+            cuts = np.flatnonzero(ids == mark)
+            self._between(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+
+    def _stem(self, piece: str) -> tuple[str, str]:
+        """A word of letters, lowered, and the mark behind it; any other piece as it is."""
+        word, behind = piece, ""
+        # Letters up to U+00FF end in a letter still when they are lowered and composed.
+        if self.trims and piece[-1:] in TRAILING and piece[-2:-1] <= "\xff":
+            word, behind = piece[:-1], piece[-1]
+        if not word.isalpha():
+            return piece, ""
+        return word.encode().lower().decode() if self.lowers else word, behind
+
     def learn(self, pieces: set[str]) -> None:
-        """Encodes pieces that are not known yet, many at once with the mark between them."""
+        """Encodes the pieces that are not known yet."""
         new = [x for x in pieces if x not in self.known]
-        if len(self.known) + len(new) > MEMORY:
+        if len(self.known) + 2 * len(new) > MEMORY:
             self.known.clear()
             new = list(pieces)
-        if self.mark is None:
-            self.known.update(zip(new, self._pack(new), strict=True))
-            return
-        content, mark = self.mark
-        odd = [x for x in new if content in x]
-        self.known.update(zip(odd, self._pack(odd), strict=True))
-        new = [x for x in new if content not in x]
-        for at in range(0, len(new), TOGETHER):
-            part = new[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(content.join(part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == mark)
-            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            edges = zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)
-            self.known.update(zip(part, [packed[a * width : b * width] for a, b in edges], strict=True))
+        stems = [self._stem(x) for x in new]
+        need = [x for x in {x for pair in stems for x in pair} if x not in self.known]
+        words = [x for x in need if x.isalpha()]
+        plain = [] if self.plain is None else [x for x in words if x.isascii() and (self.lowers or x.islower())]
+        easy = set(plain)
+        odd = self._learn_words(plain, self.plain)
+        odd += self._learn_words([x for x in words if x not in easy], self.tokenizer)
+        self._learn_pieces(odd + [x for x in need if not x.isalpha()])
+        known = self.known
+        known.update([(x, known[a] + known[b]) for x, (a, b) in zip(new, stems, strict=True)])
 
     @staticmethod
     def pieces(text: str) -> list[str]:
