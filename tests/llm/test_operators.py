@@ -361,3 +361,16 @@ def test_tokens(spark, texts, width, tmp_path):
         at += len(r.ids)
     empty_manifest = tokens.write_tokens(df.limit(0), queries.vocabulary(), width=width)
     assert tokens.read_tokens(empty_manifest, width).count() == 0
+
+
+def test_encoder_of_odd_texts():
+    """Lowering, marks behind words and letters that decompose change no id."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary())
+    encoder = tokens.Encoder(queries.vocabulary(), np.dtype("<u2"))
+    letters, rng = "abAB'sStlLdé́İΣσς.,;:!? \n ½3中ſKﬁ\U0001e900̇ͅIi", random.Random(1)
+    odd = ["", "<|STARTOFTEXT|> <|endoftext|>, a<|endoftext|>", "ﬁ, ǅ. क़, नमस्ते, \x85a, ​z. 'S, a'S. ª, ʰ. ß! ẞ."]
+    for text in odd + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(5000)]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.batch([text])[0], "<u2").tolist() == want, ascii(text)
