@@ -80,7 +80,7 @@ def weighted_tree(
     ``nodes`` is the rule tree (node, parent, weight) of any depth. ``leaves`` has parent, weight,
     value and the columns ``by`` (such as role and period), each of which has a tree of its
     own; it may be large: it is reduced to one row per group and parent once. Children without a
-    value do not count, nodes without valued children have no row. Values have four decimals,
+    value do not count, nodes without valued children, or with none of any weight, have no row. Values have four decimals,
     as the result table stores them.
     """
     by = by or []
@@ -93,16 +93,20 @@ def weighted_tree(
         *by, F.col(parent).alias("__node"), (F.col(weight) * F.col(value)).alias("__wv"),
         F.col(weight).alias("__w"),
     )).checkpoint()  # every level needs it; the leaves are read once
-    totals, results = leaf_sums, []
+    none = leaf_sums.limit(0).select(
+        *by, F.lit(None).cast(nodes.schema[node].dataType).alias(node), F.lit(0).alias("nivel"),
+        F.lit(None).cast("decimal(18,4)").alias(value),
+    )
+    totals, results = leaf_sums, [none]
     for depth, level in reversed(list(enumerate(by_depth(nodes, node, parent)))):
         done = level.select(
             F.col(node).alias("__id"), F.col(parent).alias("__up"), F.col(weight).alias("__own")
         ).join(totals, F.col("__id") == F.col("__node")).select(
             *by, "__id", "__up", "__own",
             # decimal division with sixteen digits, so that halves round as in the result table
-            F.round(F.col("__wv").cast("decimal(26,8)") / F.col("__w").cast("decimal(12,4)"), 4)
+            F.round(F.try_divide(F.col("__wv").cast("decimal(26,8)"), F.col("__w").cast("decimal(12,4)")), 4)
             .cast("decimal(18,4)").alias("__v"),
-        ).checkpoint()
+        ).filter("__v IS NOT NULL").checkpoint()
         results.append(done.select(
             *by, F.col("__id").alias(node), F.lit(depth).alias("nivel"), F.col("__v").alias(value)
         ))

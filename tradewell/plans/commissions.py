@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewell.operators.hierarchy import weighted_tree
+
 # Calculation kinds of a rule item and the scope that takes all lines.
 SUM_OF_BASE = "SUMA_VALOR_BASE"
 CLIENT_IMPACTS = "CONTEO_IMPACTOS_CLIENTE"
@@ -52,6 +54,16 @@ def client_impacts(
     )
 
 
+def payout(share: Column) -> Column:
+    """What an attainment pays of its parent: nothing below the item's minimum, at most its maximum."""
+    zero = F.lit(0).cast("double")
+    bounded = (
+        F.when(share < F.coalesce(F.col("min_cumplimiento"), zero), zero)
+        .otherwise(F.least(share, F.col("max_cumplimiento")))
+    )
+    return F.when(share.isNotNull(), bounded * F.col("peso_sobre_padre"))
+
+
 def attainment(
     achieved: DataFrame, goals: DataFrame, rules: DataFrame, keys: list[str]
 ) -> DataFrame:
@@ -62,12 +74,7 @@ def attainment(
     nothing is paid, above the maximum no more than the maximum. A goal nobody sold against
     counts as zero; a goal of zero has no attainment.
     """
-    zero = F.lit(0).cast("double")
     share = F.try_divide(F.col("valor_logrado").cast("double"), F.col("valor_meta").cast("double"))
-    bounded = (
-        F.when(share < F.coalesce(F.col("min_cumplimiento"), zero), zero)
-        .otherwise(F.least(share, F.col("max_cumplimiento")))
-    )
     return (
         goals.join(achieved, keys, "left")
         .withColumn("valor_logrado", F.coalesce(F.col("valor_logrado"), F.lit(0)))
@@ -76,13 +83,46 @@ def attainment(
         ), "id_item_regla")
         .select(
             *keys, "valor_logrado", "valor_meta",
-            share.alias("porcentaje_cumplimiento"),
-            F.when(share.isNotNull(), bounded * F.col("peso_sobre_padre"))
-            .alias("porcentaje_liquidacion_final"),
+            share.alias("porcentaje_cumplimiento"), payout(share).alias("porcentaje_liquidacion_final"),
         )
     )
 
 
+def settlement(
+    sales: DataFrame, items: DataFrame, goals: DataFrame, role: str, period: str, line: str, value: str, client: str
+) -> DataFrame:
+    """Results per goal and, above them, per item that averages its children.
+
+    ``sales`` may be reduced to sums per role, period, line and client. ``goals`` has
+    ``id_item_regla``, ``role``, ``period`` and ``valor_meta``; ``items`` the rule items' columns.
+    The attainment of an averaging item is the weighted average of its children's, for each role
+    and period that has any; its own thresholds and weight then give its payout.
+    """
+    keys = ["id_item_regla", role, period]
+    measured = items.filter(F.col("tipo_calculo") != WEIGHTED_CHILDREN)
+    achieved = sum_of_base(sales, role, period, line, value, items).select(
+        *keys, F.col("valor_logrado").cast("decimal(38,4)").alias("valor_logrado")
+    ).unionByName(client_impacts(sales, role, period, line, client, items).select(
+        *keys, F.col("valor_logrado").cast("decimal(38,4)").alias("valor_logrado")
+    ))
+    own = attainment(achieved, goals, measured, keys).drop("valor_meta").checkpoint()
+    placed = measured.select("id_item_regla", "id_item_padre_fk", "peso_sobre_padre").filter("id_item_padre_fk IS NOT NULL")
+    leaves = own.select(
+        *keys, F.col("porcentaje_cumplimiento").cast("decimal(18,4)").alias("porcentaje_cumplimiento")
+    ).join(placed, "id_item_regla").drop("id_item_regla")
+    averaging = items.filter(F.col("tipo_calculo") == WEIGHTED_CHILDREN)
+    tree = weighted_tree(
+        averaging.select("id_item_regla", "id_item_padre_fk", "peso_sobre_padre"), leaves,
+        "id_item_regla", "id_item_padre_fk", "peso_sobre_padre", "porcentaje_cumplimiento", [role, period],
+    )
+    share = F.col("porcentaje_cumplimiento").cast("double")
+    above = tree.join(averaging, "id_item_regla").select(
+        *keys, F.lit(None).cast("decimal(38,4)").alias("valor_logrado"), share.alias("porcentaje_cumplimiento"),
+        payout(share).alias("porcentaje_liquidacion_final"),
+    )
+    return own.unionByName(above)
+
+
 def rule_products(items: DataFrame, parameters: str = "parametros_json") -> DataFrame:
     """One row per rule item and product of its JSON parameters, with the minimum quantity.
 
