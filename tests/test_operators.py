@@ -373,6 +373,14 @@ def test_weighted_tree_with_leaves_on_two_levels(spark):
         ("y", "C", 2, 6.0), ("y", "A", 1, 6.0), ("y", "T", 0, 6.0)}
 
 
+def test_weighted_tree_without_nodes_or_weights(spark):
+    nodes = spark.createDataFrame([("T", None, 1.0), ("A", "T", 3.0), ("B", "T", 1.0)], "n string, p string, w double")
+    leaves = spark.createDataFrame([("A", 0.0, 10.0), ("B", 1.0, 8.0)], "p string, w double, v double")
+    out = hierarchy.weighted_tree(nodes, leaves, "n", "p", "w", "v")
+    assert {(r.n, float(r.v)) for r in out.collect()} == {("B", 8.0), ("T", 8.0)}  # A has no value, so it does not count
+    assert hierarchy.weighted_tree(nodes.limit(0), leaves, "n", "p", "w", "v").count() == 0
+
+
 @pytest.mark.parametrize("lost", [("X", "unknown"), ("X", "X")])
 def test_nodes_that_no_top_reaches_are_an_error(spark, lost):
     nodes = spark.createDataFrame([("T", None, 1.0), (*lost, 1.0)], "n string, p string, w double")
