@@ -193,6 +193,34 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("kind", range(3))
+@pytest.mark.parametrize("n", [4, 8, 20, 56, 60, 104, 200])
+def test_leaks_reach_their_recall(n, kind):
+    """Copies with 25 % of their words replaced, deleted or inserted, evenly spread or anywhere."""
+    rng = random.Random(n * 3 + kind)
+    pool = [f"w{i}" for i in range(30_000)]
+    items, rows = [rng.sample(pool, n) for _ in range(100)], []
+    for k, item in enumerate(items):
+        at = {(2 * i + 1) * n // (2 * (n // 4)) for i in range(n // 4)} if k % 2 else set(rng.sample(range(n), n // 4))
+        copy = [x for i, w in enumerate(item) for x in ([w] if i not in at else [["zz"], [], ["zz", w]][kind])]
+        rows.append(rng.sample(pool, 30) + copy + rng.sample(pool, 30))
+    table = decontaminate.Table([(i, " ".join(x).encode()) for i, x in enumerate(items)], 0.75)
+    found = {(d, i): e for d, i, e, *_ in decontaminate._search([" ".join(x).encode() for x in rows], table)}
+    some = range(0, 100, 10 if n > 60 else 1)
+    assert all(brute.edits(items[k], rows[k]) <= n // 4 for k in some)
+    assert all(found[k, k] == brute.edits(items[k], rows[k]) for k in some if (k, k) in found)
+    assert sum((k, k) in found for k in range(100)) >= 98
+    size, _, _ = decontaminate.plan(n)
+    assert size <= n // 2
+
+
+def test_unchanged_items_are_always_found():
+    items = [["the"] * n for n in range(1, 30)] + [words(random.Random(n), n, 3) for n in range(1, 60)]
+    texts = [" ".join(x).encode() for x in items]
+    found = {(d, i): e for d, i, e, *_ in decontaminate._search(texts, decontaminate.Table(list(enumerate(texts)), 0.75))}
+    assert all(found[i, i] == 0 for i in range(len(items)))
+
+
 # --- 5 -----------------------------------------------------------------------------------
 
 def test_secrets(spark):
