@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each an operator of ``tradewell.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents. Rows that repeat a
-doc_id share its fate in the stages that judge by doc_id.
+again as the next one's docs. All but the last return the columns of documents. Every row is judged
+by its own text, also where ids are null or repeat.
 """
 
 from __future__ import annotations
@@ -15,10 +15,18 @@ from tradewell.llm.common import few, saved
 from tradewell.llm.queries import THRESHOLD, table, vocabulary
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but those whose doc_id is among ``ids``; texts are not shuffled while ids are few."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(few(ids), docs["doc_id"] == F.col("__id"), "left_anti")
+def without(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """``docs`` but those whose ``row`` is among ``rows``; texts are not shuffled while rows are few."""
+    rows = rows.select(F.col(row).alias("__gone")).distinct()
+    return docs.join(few(rows), docs[row] == F.col("__gone"), "left_anti")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, the column that tells its rows apart): doc_id, or else a row number, saved with the rows."""
+    odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        return docs, "doc_id"
+    return saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows"), "__row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +35,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = saved(jaccard.similar_documents(docs), "classes")
-    return without(docs, classes.filter("doc_id != component_id"))
+    """Of each class of similar rows the one of the smallest doc_id stays (null last, then by text and row)."""
+    rows, row = numbered(docs)
+    classes = saved(jaccard.similar_documents(rows, row), "classes")
+    if row == "doc_id":
+        return without(docs, classes.filter("doc_id != component_id"), row)
+    order = rows.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row).alias("place"))
+    # A row without shingles is a class of its own.
+    first = classes.join(order, row).groupBy("component_id").agg(F.min("place")[row].alias("kept"))
+    gone = classes.join(first, "component_id").filter(F.col(row) != F.col("kept"))
+    return without(rows, gone, row).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, saved(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")), "leaks"))
+    rows, row = numbered(docs)
+    leaks = saved(decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), row), "leaks")
+    return without(rows, leaks, row).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,19 @@ def test_pipeline(spark, texts):
     mixed = sorted(r.doc_id for r in docs.collect())
     out = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
     assert sorted(r.doc_id for r in out) == mixed and sum(r.n_tokens for r in out) > 0
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Copies of one id or without ids go, and a clean row stays whatever its id."""
+    x, y, z, leak = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyzl")
+    rows = [(5, x), (5, z), (1, x), (2, y), (2, y), (None, y + " end"), (None, "n " + z), (None, leak), (7, leak), (7, "clean"),
+            (None, None), (None, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_similar(spark, docs, "")
+    key = lambda r: str(r)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r) for r in kept.collect()), key=key) == sorted(
+        [(1, x), (2, y), (5, z), (7, leak), (7, "clean"), (None, None), (None, ""), (8, None)], key=key)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert sorted((tuple(r) for r in left.collect()), key=key) == sorted((r for r in rows if r[1] != leak), key=key)
