@@ -325,6 +325,22 @@ def test_mined_rules_match_a_plain_count(spark):
     assert got == least
 
 
+def test_long_rules_and_copies_of_long_urls(spark):
+    """Only all of a..f together mean block; a large group of equal urls of 40 tokens is mined quickly."""
+    five = [[x for x in "abcdef" if x != y] for y in "abcdef"]
+    baskets = [(list("abcdef"), "block")] * 20 + [(b, "allow") for b in five for _ in range(3)]
+    long = [f"t{i:02d}" for i in range(40)]
+    baskets += [(long, "block")] * 20
+    df = spark.createDataFrame(baskets, "items array<string>, label string")
+    classes = urls.token_classes(df, 0.02)
+    rules = urls.mine_rules(df, 0.02, 0.95, classes).cache()
+    assert {(tuple(r.antecedent), r.label) for r in rules.collect()} == {(tuple("abcdef"), "block"), (("t00",), "block")}
+    asked = [[*"abcdef", "z"], [*"abcde", "z"], ["t07", "t31", "z"], ["z"]]
+    found = urls.match_rules(spark.createDataFrame([(a,) for a in asked], "items array<string>"), rules, classes)
+    assert {tuple(r["items"]): (r.label, r.antecedent) for r in found.collect()} == {
+        tuple(asked[0]): ("block", list("abcdef")), tuple(asked[2]): ("block", ["t07"])}
+
+
 # --- 9 -----------------------------------------------------------------------------------
 
 def test_segments_match_the_definition():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +46,39 @@ def url_items(host: Column, path: Column, url: Column) -> Column:
         words("query", F.coalesce(query, F.lit("")), "[^0-9A-Za-z]+")))
 
 
-def mine_rules(baskets: DataFrame, support: float, confidence: float, items: int = 4) -> DataFrame:
+def token_classes(baskets: DataFrame, support: float) -> DataFrame:
+    """(token, class): frequent tokens; those in exactly the same baskets have the least of them as class.
+
+    A token is known by two sums of hashes of the different baskets that hold it.
+    """
+    least = math.ceil(support * baskets.count())
+    different = baskets.groupBy("items", "label").agg(F.count("*").alias("n"))
+    tokens = different.select(
+        F.explode(F.array_distinct("items")).alias("token"), "n", F.xxhash64("items", "label").alias("one"),
+        F.xxhash64(F.lit(1), "label", "items").alias("two"))
+    known = tokens.groupBy("token").agg(
+        F.sum("n").alias("n"), *(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("one", "two"))
+    ).filter(F.col("n") >= least)
+    classes = known.groupBy("n", "one", "two").agg(F.collect_list("token").alias("tokens"))
+    return saved(classes.select(F.explode("tokens").alias("token"), F.array_min("tokens").alias("class")), "url-tokens")
+
+
+def mine_rules(baskets: DataFrame, support: float, confidence: float, classes: DataFrame | None = None) -> DataFrame:
     """(antecedent, label, confidence, support) from baskets (items, label) by FP-growth.
 
     Only rules whose consequent is a label; a longer rule is dropped if a shorter one for the same
-    label, contained in it, is as confident.
+    label, contained in it, is as confident. Rules of any length are found. Tokens in exactly the
+    same baskets are one item, named by the least of them (``token_classes``): any of them says
+    what all say, and the sets of a group of equal long baskets are not all formed.
     """
-    transactions = baskets.select(F.concat("items", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    classes = token_classes(baskets, support) if classes is None else classes
+    sets = baskets.select("items").distinct().withColumn("token", F.explode("items")).join(few(classes), "token").groupBy(
+        "items").agg(F.collect_set("class").alias("held"))
+    transactions = baskets.join(few(sets, BROADCAST_ROWS // 10), "items", "left").select(F.concat(
+        F.coalesce("held", F.array().cast("array<string>")), F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(transactions)
     rules = model.associationRules.filter(
         F.col("consequent")[0].startswith("label:") & ~F.exists("antecedent", lambda x: x.startswith("label:"))
-        & (F.size("antecedent") <= items)
     ).select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 7, 1 << 20).alias("label"),
              "confidence", "support")
     rules = saved(rules, "url-rules")
@@ -68,21 +92,27 @@ def mine_rules(baskets: DataFrame, support: float, confidence: float, items: int
     return rules.join(covered, ["antecedent", "label"], "left_anti")
 
 
-def match_rules(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """``baskets`` (items, ...) that hold a rule's whole antecedent, with their best rule's label.
+def match_rules(baskets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """``baskets`` (items, ...) that hold a token of each class of a rule's antecedent, with their best rule's label.
 
-    An inverted index lists each rule under its rarest item; a basket looks up its items and
-    checks the few rules listed there. The best rule is the most confident, then best supported, then
-    longest, then first in order of its items and label.
+    An inverted index lists each rule under its rarest class; a basket looks up its classes and
+    checks the few rules listed there. Returned is the least token held of each class. The best rule
+    is the most confident, then best supported, then longest, then first in order of its tokens and label.
     """
     indexed = rules.withColumn("i", F.explode("antecedent"))
     often = indexed.groupBy("i").count()
     key = indexed.join(often, "i").groupBy("antecedent", "label", "confidence", "support").agg(
         F.min(F.struct("count", "i")).alias("least"))
     key = key.withColumn("item", F.col("least.i")).drop("least")
-    hits = baskets.withColumn("item", F.explode("items")).join(few(key), "item").filter(
-        F.size(F.array_except("antecedent", "items")) == 0)
-    best = F.struct(-F.col("confidence"), -F.col("support"), -F.size("antecedent"), "antecedent", "label")
+    used = classes.join(often.select(F.col("i").alias("class")), "class", "left_semi")
+    held = baskets.withColumn("token", F.explode("items")).join(few(used), "token").groupBy("items").agg(
+        F.collect_list(F.struct("class", "token")).alias("held"))
+    held = held.withColumn("in", F.array_distinct("held.class"))
+    hits = held.withColumn("item", F.explode("in")).join(few(key), "item").filter(
+        F.size(F.array_except("antecedent", "in")) == 0)
+    own = F.array_sort(F.transform("antecedent", lambda c: F.array_min(
+        F.transform(F.filter("held", lambda h: h["class"] == c), lambda h: h["token"]))))
+    best = F.struct(-F.col("confidence"), -F.col("support"), -F.size("antecedent"), own.alias("antecedent"), "label")
     return hits.groupBy("items").agg(F.min(best).alias("best")).select(
         "items", F.col("best.label").alias("label"), F.col("best.antecedent").alias("antecedent"))
 
@@ -112,7 +142,8 @@ def filter_urls(
     labelled = rows.filter("given is not null").select("items", F.col("given.verdict").alias("label"))
     open_sets = rows.filter("given is null").select("items").distinct()
     if labelled.limit(1).count():
-        mined = match_rules(open_sets, mine_rules(labelled, support, confidence))
+        classes = token_classes(labelled, support)
+        mined = match_rules(open_sets, mine_rules(labelled, support, confidence, classes), classes)
     else:
         mined = open_sets.limit(0).withColumn("label", F.lit("")).withColumn("antecedent", F.col("items"))
     out = rows.join(few(mined, BROADCAST_ROWS // 10), "items", "left")
