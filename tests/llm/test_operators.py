@@ -384,6 +384,14 @@ def test_toxicity(spark):
     assert not nothing.weights and toxicity.score(docs.limit(0), nothing).count() == 0
 
 
+def test_every_toxic_token_is_kept(spark):
+    names = ["v" + "".join("abcdefghij"[int(d)] for d in f"{i:05d}") for i in range(21_000)]
+    toxic, clean = " ".join(names), " ".join("c" + x for x in names)
+    docs = spark.createDataFrame([(i, toxic if i < 50 else clean) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(100)], "doc_id long, toxic int")
+    assert set(toxicity.fit(docs, labels).weights) == set(names)
+
+
 # --- 10 ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("width", [2, 4])

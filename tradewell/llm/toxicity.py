@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tradewell.llm.common import prepare, saved
 
 #: Labelled rows that the model is fitted on, at most, and tokens that it keeps, at most.
-LABELS, TOKENS = 200_000, 20_000
+LABELS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -131,14 +131,14 @@ def _count_words(rows: DataFrame, only: set[str] | None) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    most_labels: int = LABELS, most_tokens: int = TOKENS, prior: float = 500.0, least_z: float = 3.0,
+    most_labels: int = LABELS, prior: float = 500.0, least_z: float = 3.0,
 ) -> Model:
     """Learns the model from the labelled rows, at most ``most_labels`` of them, chosen by a hash of the id.
 
     A token's log-odds compare the labelled texts of either class that hold it, under Dirichlet
     priors proportional to its frequency among all texts of ``docs``; tokens count if they are
-    toxic by ``least_z`` standard errors, the ``most_tokens`` strongest at most. Every other token has
-    the log-odds of not being one of them, a little below 0, so segments end.
+    toxic by ``least_z`` standard errors and in three toxic texts, however many there are: the labelled
+    rows, which are bounded, bound them. Every other token has the log-odds of not being one of them, a little below 0, so segments end.
 
     Rows without a label, null ids and labels are left out; an id labelled twice counts as toxic
     if half of its labels are. Without toxic labels nothing scores.
@@ -162,7 +162,7 @@ def fit(
     # Candidates: seen in several toxic texts, and more often than by chance under a flat prior.
     odds = F.log((F.col("t") + 0.5) / max(toxic, 1)) - F.log((F.col("c") + 0.5) / max(clean, 1))
     rough = by_word.filter("t >= 3").withColumn("z", odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
-    found = rough.filter(F.col("z") > least_z / 2).orderBy(F.col("z").desc(), "word").limit(4 * most_tokens).collect()
+    found = rough.filter(F.col("z") > least_z / 2).orderBy(F.col("z").desc(), "word").collect()
     candidates = {r["word"]: (r["t"], r["c"]) for r in found}
 
     shared = context.broadcast(set(candidates))
@@ -176,7 +176,7 @@ def fit(
         z = delta / math.sqrt(1 / (t + share) + 1 / (c + share))
         if z >= least_z and delta > 0:
             scored.append((z, word, delta, t, c))
-    scored = sorted(scored, reverse=True)[:most_tokens]
+    scored = sorted(scored, reverse=True)
     weights = {word: delta for _, word, delta, *_ in scored}
     in_toxic = sum(t for *_, t, _ in scored) / max(toxic, 1)
     in_clean = sum(c for *_, c in scored) / max(clean, 1)
