@@ -88,6 +88,17 @@ def test_long_lists_are_dealt_out(docs, texts, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard.similar_documents(docs).collect()} == brute.similar(texts)
 
 
+def test_groups_of_leaders_grow_with_the_input(docs, texts, monkeypatch):
+    assert jaccard._groups(10, 10) == jaccard.GROUPS
+    assert jaccard._groups(10**8, 10) >= 10**8 // jaccard.GROUP_SETS and jaccard._groups(10, 10**12) >= 10**12 // jaccard.GROUP_BYTES
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 1)
+    monkeypatch.setattr(jaccard, "GROUPS", 1)
+    dealt, groups = [], jaccard._groups
+    monkeypatch.setattr(jaccard, "_groups", lambda *x: dealt.append(groups(*x)) or dealt[-1])
+    assert {r[0]: (r[1], r[2]) for r in jaccard.similar_documents(docs).collect()} == brute.similar(texts)
+    assert dealt[0] > 10
+
+
 def test_similar_documents_without_good_ids(spark):
     got = sorted(tuple(r) for r in jaccard.similar_documents(clashing(spark)).collect() if r[0] is not None)
     assert got == [(1, 4, 1), (2, 2, 2), (2, 4, 1)]

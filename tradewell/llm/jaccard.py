@@ -19,6 +19,8 @@ from tradewell.llm.common import (
 BUCKET, LIST = 1_000_000, 200_000
 #: Sets of one leader that are compared with each other within a task.
 BLOCK_SETS = 1024
+#: Sets, and bytes of differences, that a task's groups of leaders hold on average; never fewer groups than ``GROUPS``.
+GROUP_SETS, GROUP_BYTES, GROUPS = 2048, 8 << 20, 256
 ENTRY = np.dtype([("token", "u8"), ("node", "i8"), ("size", "i4"), ("pos", "i4")])
 
 
@@ -163,6 +165,11 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int, differences: bool =
     return out if differences else out.drop("gone", "fresh")
 
 
+def _groups(sets: int, size: int) -> int:
+    """Groups into which leaders are dealt, for so many led sets and bytes of differences."""
+    return max(GROUPS, -(-sets // GROUP_SETS), -(-size // GROUP_BYTES))
+
+
 def _derived_links(led: DataFrame, percent: int) -> DataFrame:
     """(node, root): links between sets with the same leader x, from their differences to x alone.
 
@@ -182,7 +189,9 @@ def _derived_links(led: DataFrame, percent: int) -> DataFrame:
         "y", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("left", F.lit(False))
     others = rows.filter(~F.col("linked")).withColumn("y", F.pmod("block", "others").cast("int")).withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.col("sets") - 1))).withColumn("left", F.lit(True))
-    columns = [F.pmod(F.xxhash64("lead"), F.lit(256)).alias("g"), "x", "y", "lead", "left", "node", "n", "of", "gone", "fresh"]
+    total = led.agg(F.count("*"), F.sum(F.length("gone") + F.length("fresh"))).first()
+    groups = _groups(total[0], total[1] or 0)
+    columns = [F.pmod(F.xxhash64("lead"), F.lit(groups)).alias("g"), "x", "y", "lead", "left", "node", "n", "of", "gone", "fresh"]
 
     def tokens(rows: pd.DataFrame, which: str) -> tuple[np.ndarray, np.ndarray]:
         own = [np.frombuffer(v, np.uint64) for v in rows[which]]
