@@ -252,6 +252,16 @@ def test_secrets(spark):
     assert spans(3) == spans(4) == spans(7) == spans(8) == [] and spans(9) == [(9, 26, "assign")]
 
 
+def test_rest_of_a_candidate_beside_a_base_span(spark):
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.choice(alphabet) for _ in range(63)) + "Z"
+    text = f"see {key}/AKIA{'Q' * 20}"
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert [tuple(s) for s in found.base] == [(69, 93, "access")]
+    assert [(s.start, s.end) for s in found.added] == [(4, 69)]
+
+
 def test_randomness_battery():
     rng = random.Random(2)
     places = {c: i for i, c in enumerate(secrets.ENCODINGS[4][1])}

@@ -97,6 +97,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def outside(text: str, found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The candidates of a text; of one that overlaps a base span, what remains outside of it."""
+    for m in _CANDIDATE.finditer(text):
+        at = m.start()
+        for a, b, _ in sorted(f for f in found if f[0] < m.end() and m.start() < f[1]):
+            # A part may begin or end otherwise than a whole candidate, with "=".
+            if part := _CANDIDATE.search(text, at, max(at, a)):
+                yield part.span()
+            at = max(at, b)
+        if part := _CANDIDATE.search(text, at, max(at, m.end())):
+            yield part.span()
+
+
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, least: int = 20
 ) -> DataFrame:
@@ -107,7 +120,9 @@ def find_secrets(
     hypothesis is that a candidate is uniform over its encoding's alphabet, and ordinary text
     is what the tests reject. Rejections are chosen by Benjamini and Hochberg's rule at
     ``rate`` within each encoding and doubling of the length, over all candidates of the table,
-    so at most that share of what is set aside as ordinary text is expected to be random.
+    so at most that share of what is set aside as ordinary text is expected to be random. The rate
+    says nothing of how many of the reported strings are ordinary. Of a candidate that overlaps
+    a base span, the rest is judged.
     What is not rejected counts as a secret if it has ``least`` characters and if its length lets the
     tests see anything: text on a quarter of the alphabet would be rejected.
 
@@ -128,12 +143,12 @@ def find_secrets(
                 text = text or ""
                 found = base_spans(text)
                 own = []
-                for m in _CANDIDATE.finditer(text):
-                    got = infer(m.group())
-                    if got and not any(a < m.end() and m.start() < b for a, b, _ in found):
-                        p = battery(m.group(), got[1])
-                        own.append({"start": m.start(), "end": m.end(), "kind": got[0],
-                                    "stratum": (m.end() - m.start()).bit_length(),
+                for start, end in outside(text, found):
+                    got = infer(text[start:end])
+                    if got:
+                        p = battery(text[start:end], got[1])
+                        own.append({"start": start, "end": end, "kind": got[0],
+                                    "stratum": (end - start).bit_length(),
                                     "bin": min(400, int(-20 * math.log10(max(p, 1e-20))))})
                 found.sort(key=lambda s: (s[0], order.index(s[2])))
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
