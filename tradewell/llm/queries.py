@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewell.llm import (
-    chat, decontaminate, embeddings, jaccard, mixing, secrets, suffix_index, tokens, toxicity, urls,
+    chat, decontaminate, embeddings, jaccard, mixing, pieces, prefix_trie, resampling, secrets, suffix_index, tokens,
+    toxicity, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +40,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+#: DuckDB has no crc32: a table for a byte at a time, made from the polynomial, and the sum of a text's bytes.
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v
+    FROM range(256) t(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k::INT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
 
 
 def spelled(spans: Column) -> Column:
@@ -158,3 +171,74 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_tokens")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(table(spark, folder, "documents"), vocabulary(), width=2), width=2)
+
+
+@query("op11_pieces")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    decoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, folder, "documents"), model), model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_FEATURES = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op12_resample", f"""
+WITH {CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS words FROM documents),
+own AS (SELECT r, unnest(words) AS word FROM docs),
+wanted AS (SELECT unnest({_FEATURES}) AS word FROM benchmark),
+hashed AS (
+  SELECT word, {crc32_sql("word")} % 10000 AS bucket
+  FROM (SELECT word FROM own UNION SELECT word FROM wanted), crc_table),
+held AS (
+  SELECT bucket, sum(s) AS s, sum(t) AS t FROM (
+    SELECT word, 1 AS s, 0 AS t FROM own UNION ALL SELECT word, 0, 1 FROM wanted) JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT count(*) FROM own) + 10000)
+    / ((s + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000))))::BIGINT AS gain FROM held),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM own JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296::DOUBLE))))::BIGINT AS score FROM docs LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END::BIGINT AS rank FROM ranked""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.importance_ranks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_prefix_trie", f"""
+WITH {CRC_TABLE},
+own AS (
+  SELECT conv_id AS conv, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (
+  SELECT o.conv, {crc32_sql("o.conv::VARCHAR")} % 6 AS h, o.turns, b.turns AS base
+  FROM own o CROSS JOIN crc_table LEFT JOIN own b ON b.conv = o.conv - o.conv % 100),
+rebuilt AS (SELECT conv, list_concat(coalesce(base[1:h], []), turns[h + 1:]) AS seq FROM headed),
+members AS (SELECT conv, seq, unnest(range(len(seq) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT seq[1:depth] AS path, depth, min(conv) AS conv, count(*) AS n_convs,
+    coalesce(string_agg(CASE WHEN len(seq) = depth THEN conv::VARCHAR END, ',' ORDER BY conv), '') AS ends
+  FROM members GROUP BY 1, 2),
+kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+whole AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS tokens FROM nodes LEFT JOIN kids USING (path, depth)),
+above AS (SELECT path[1:up] AS path, up AS depth, n_children, tokens FROM (SELECT *, unnest(range(depth + 1)) AS up FROM whole)),
+totals AS (
+  SELECT path, depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(tokens) AS tokens FROM above GROUP BY 1, 2)
+SELECT w.conv AS conv_id, w.depth, p.conv AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children,
+  t.n_leaves, t.tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN totals t USING (path, depth) LEFT JOIN whole p ON p.depth = w.depth - 1 AND p.path = w.path[1:w.depth - 1]""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
