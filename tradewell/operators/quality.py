@@ -7,7 +7,7 @@ from decimal import Decimal
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -123,3 +123,23 @@ def load_metrics(df: DataFrame, reason: str) -> DataFrame:
         F.count_if(F.col(reason).isNull()).alias("validas"),
         F.count_if(F.col(reason).isNotNull()).alias("rechazadas"),
     )
+
+
+def observed(df: DataFrame, reason: str) -> tuple[DataFrame, Observation]:
+    """The same rows, and the counts of ``load_metrics`` taken while some action computes them.
+
+    The load itself counts, so no second pass over the rows is needed. ``Observation.get`` waits for the
+    first action on the frame.
+    """
+    counts = Observation("carga")
+    return df.observe(
+        counts, F.count(F.lit(1)).alias("leidas"), F.count_if(F.col(reason).isNull()).alias("validas"),
+        F.count_if(F.col(reason).isNotNull()).alias("rechazadas"),
+    ), counts
+
+
+def observed_metrics(spark: SparkSession, counts: Observation) -> DataFrame:
+    """The counts of an observed load that has run, as the one row of ``load_metrics``."""
+    found = counts.get
+    names = ("leidas", "validas", "rechazadas")
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} long" for n in names))

@@ -164,3 +164,68 @@ def apply_changes(
     return ended.unionByName(
         both.select(F.explode(F.array_compact(versions)).alias("__v")).select("__v.*")
     )
+
+
+def apply_dated(
+    history: DataFrame, changes: DataFrame, keys: list[str], tracked: list[str],
+    start: str, end: str, id_column: str,
+) -> DataFrame:
+    """New history after changes that each say from which day on they hold, in any order of days.
+
+    ``history`` has one row per key and start and no overlaps, ``changes`` the keys, ``tracked`` and
+    ``start``, at most one row per key and day. From its day on a change holds until the key's next start:
+    * inside a version it splits it: the old part ends the day before, the new one ends where the version did;
+    * on the start of a version it corrects that version, which keeps its id;
+    * before the first version or in a gap it opens a version that ends before the next start, or never;
+    * if it says what already holds on its day, it changes nothing, so a second run changes nothing.
+
+    Untracked columns of a split version carry over. Versions that were there keep their id, new ones have
+    none (see ``keys.assign_ids``). All rows of a key meet once, ordered by day: one shuffle by the key.
+    """
+    columns = history.columns
+    own = history.select(*keys, start, F.struct(*columns).alias("__h"))
+    fresh = changes.select(*keys, F.col(start).cast(history.schema[start].dataType).alias(start), F.struct(*[
+        F.col(c).cast(history.schema[c].dataType).alias(c) for c in tracked]).alias("__c"))
+    events = own.unionByName(fresh, allowMissingColumns=True).repartition(*keys).groupBy(*keys, start).agg(
+        F.max("__h").alias("__h"), F.max("__c").alias("__c"))
+    by_day = Window.partitionBy(*keys).orderBy(start)
+    covering = F.last("__h", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, 0))
+    events = events.withColumn("__version", covering).withColumn(
+        "__covered", F.coalesce(F.col(f"__version.{end}") >= F.col(start), F.lit(False)))
+    events = events.withColumns({
+        "__values": F.coalesce("__c", F.struct(*[F.col(f"__h.{c}").alias(c) for c in tracked])),
+        "__end": F.when(F.col("__covered"), F.col(f"__version.{end}")).otherwise(open_end()),
+    })
+    says_nothing = (
+        F.col("__h").isNull()
+        & F.lag("__values").over(by_day).eqNullSafe(F.col("__values"))
+        & (F.lag("__end").over(by_day) >= F.col(start))
+    )
+    kept = events.withColumn("__idle", says_nothing).filter(~F.coalesce("__idle", F.lit(False)))
+    until = F.date_sub(F.lead(start).over(by_day), 1)
+    kept = kept.withColumn("__until", F.least("__end", until))
+
+    def value(c: str) -> Column:
+        if c in keys or c == start:
+            return F.col(c)
+        if c == end:
+            return F.col("__until").alias(end)
+        if c in tracked:
+            return F.col(f"__values.{c}").alias(c)
+        if c == id_column:
+            return F.col(f"__h.{c}").alias(c)
+        return F.when(F.col("__covered"), F.col(f"__version.{c}")).alias(c)
+
+    return kept.select(*map(value, columns))
+
+
+def upkeep_report(before: DataFrame, after: DataFrame, keys: list[str], tracked: list[str], start: str, end: str) -> DataFrame:
+    """What an upkeep did, one row per version touched: ``ABIERTA``, ``CERRADA`` or ``CORREGIDA``, and its ends."""
+    old = before.select(
+        F.lit(True).alias("__old"), *[F.col(c).alias(f"__o_{c}") for c in [*keys, start, end, *tracked]])
+    same = reduce(and_, [F.col(c) == F.col(f"__o_{c}") for c in [*keys, start]])
+    corrected = reduce(or_, [~F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in tracked])
+    state = F.when(F.col("__old").isNull(), "ABIERTA").when(corrected, "CORREGIDA").when(
+        F.col(end) != F.col(f"__o_{end}"), "CERRADA")
+    return after.join(old, same, "left").withColumn("estado", state).filter(F.col("estado").isNotNull()).select(
+        "estado", *keys, start, F.col(f"__o_{end}").alias("fin_anterior"), end, *tracked)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewell.operators.hierarchy import weighted_tree
+from tradewell.session import ensure_checkpoint_dir
 
 # Calculation kinds of a rule item and the scope that takes all lines.
 SUM_OF_BASE = "SUMA_VALOR_BASE"
@@ -134,3 +137,44 @@ def rule_products(items: DataFrame, parameters: str = "parametros_json") -> Data
         "id_item_regla", F.explode("__p.productos").alias("codigo_erp"),
         F.col("__p.minimo").alias("minimo"),
     ).distinct()
+
+
+BAD_JSON = "ERROR"
+_KINDS = {"STRING": "texto", "BOOLEAN": "logico", "VOID": "nulo"}  # every other scalar is a number
+
+
+def rule_parameters(items: DataFrame, parameters: str = "parametros_json", item: str = "id_item_regla") -> DataFrame:
+    """Every value in the rules' JSON, whatever its shape: (item, ``ruta``, ``tipo``, ``valor``, ``numero``).
+
+    ``ruta`` is the value's path, as ``productos[2]`` or ``escalas[1][0]``; ``tipo`` is texto, numero, logico or
+    nulo; ``valor`` the value as text and ``numero`` a number as decimal. Empty lists and objects are
+    rows of tipo ``vacio``. A text that is no JSON is one row of tipo ``ERROR`` with the text itself; a null text
+    has no rows. Containers are opened level by level, as many times as the deepest parameter has levels.
+    """
+    spark = items.sparkSession
+    ensure_checkpoint_dir(spark)
+    texts = items.filter(F.col(parameters).isNotNull()).select(F.col(item), F.col(parameters).alias("__text"))
+    parsed = texts.withColumn("__v", F.try_parse_json("__text"))
+    none = F.lit(None).cast("decimal(38,10)")
+    bad = parsed.filter(F.col("__v").isNull()).select(
+        item, F.lit("").alias("ruta"), F.lit(BAD_JSON).alias("tipo"), F.col("__text").alias("valor"), none.alias("numero"))
+    level = parsed.filter(F.col("__v").isNotNull()).select(item, F.lit("").alias("ruta"), "__v")
+    found = [bad]
+    while True:
+        level = level.withColumn("__kind", F.schema_of_variant("__v")).checkpoint()
+        nested = F.col("__kind").startswith("ARRAY") | F.col("__kind").startswith("OBJECT")
+        kind = F.when(nested, "vacio").otherwise(F.coalesce(
+            *[F.when(F.col("__kind") == k, F.lit(v)) for k, v in _KINDS.items()], F.lit("numero")))
+        text = F.when(~nested, F.variant_get("__v", "$", "string"))
+        empty = F.to_json("__v").isin("[]", "{}")
+        found.append(level.filter(~nested | empty).select(
+            item, "ruta", kind.alias("tipo"), text.alias("valor"),
+            F.when(kind == "numero", F.try_variant_get("__v", "$", "decimal(38,10)")).alias("numero")))
+        inner = level.filter(nested & ~empty)
+        if inner.isEmpty():
+            break
+        opened = inner.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(
+            F.col("ruta") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
+        level = opened.select(item, F.concat("ruta", step).alias("ruta"), F.col("value").alias("__v"))
+    return reduce(DataFrame.unionByName, found)

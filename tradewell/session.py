@@ -17,6 +17,8 @@ TUNING = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Same for the partitions of a rebalance before a partitioned write.
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Tables in thousands of parts are listed by so many tasks, not by one for each part.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 
