@@ -39,41 +39,50 @@ def window_size(words: int, edits: int) -> int:
 
 
 def embed(
-    words: np.ndarray, at: np.ndarray, ends: np.ndarray, size: int, places: int, walk: int
-) -> tuple[np.ndarray, np.ndarray]:
+    words: np.ndarray, at: np.ndarray, ends: np.ndarray, size: int, samples: tuple[int, ...], walk: int, check: bool = False
+) -> list[tuple[np.ndarray, np.ndarray | None]]:
     """Bit-sampled hashes of the random-walk embeddings of the windows that start at ``at``.
 
     Step j writes the word under the walk's pointer and moves the pointer on if a random bit, a
     function of j and the word, says so. An edit throws two walks out of step only until their
     bits differ the right way, so edit distance becomes Hamming distance. Past a window's
     ``size`` words (or its text's end) the walk writes blanks. A sample is the hash of the words
-    written at ``places`` random steps; windows agree in it if their embeddings agree there. Also
-    returned is which samples hold ``places`` words at different places of the window; one that
-    holds fewer would agree with very many windows.
+    written at some random steps; windows agree in it if their embeddings agree there. One walk
+    serves all ``samples``, numbers of such steps. With ``check``, also returned is which samples hold
+    that many words at different places of the window; one that holds fewer would agree with very many.
     """
     rng = np.random.default_rng([walk, size])
     steps = 2 * size
     factors = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    rng = np.random.default_rng([walk, size, places])
-    # All steps are one sample, in which a window always agrees with its unchanged copy.
-    every = places == steps
-    chosen = [set(range(steps))] if every else [set(rng.choice(steps, places, replace=False).tolist()) for _ in range(SAMPLES)]
     blank = np.concatenate([words, np.zeros(1, np.uint64)])
     stop = np.minimum(at + size, ends)
     here = at.copy()
-    out = np.full((len(chosen), len(at)), (walk * 1000 + size) * 100 + places, np.uint64)
-    whole = np.ones((len(chosen), len(at)), bool)
-    before = np.full((len(chosen), len(at)), -1)
-    for j in range(max(max(c) for c in chosen) + 1):
+    takers: list[list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]] = [[] for _ in range(steps)]
+    found = []
+    for places in samples:
+        rng = np.random.default_rng([walk, size, places])
+        # All steps are one sample, in which a window always agrees with its unchanged copy.
+        every = places == steps
+        chosen = [range(steps)] if every else [rng.choice(steps, places, replace=False).tolist() for _ in range(SAMPLES)]
+        out = np.full((len(chosen), len(at)), (walk * 1000 + size) * 100 + places, np.uint64)
+        whole = np.ones((len(chosen), len(at)), bool) if check else None
+        found.append((out, whole))
+        for s, own in enumerate(chosen):
+            before = np.full(len(at), -1) if check and not every else None
+            for j in own:
+                takers[j].append((out[s], whole[s] if check else None, before))
+    for j in range(max(j for j in range(steps) if takers[j]) + 1):
         inside = here < stop
         word = blank[np.where(inside, here, len(words))]
-        for s in range(len(chosen)):
-            if j in chosen[s]:
-                out[s] = (out[s] ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)
-                whole[s] &= every | inside & (before[s] != here)
-                before[s] = here
+        for out, whole, before in takers[j]:
+            out ^= word
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += np.uint64(j)
+            if before is not None:
+                whole &= inside & (before != here)
+                before[:] = here
         here += (((word * factors[j]) >> np.uint64(63)) > 0) & inside
-    return mix(out + np.arange(len(chosen), dtype=np.uint64)[:, None]), whole
+    return [(mix(out + np.arange(len(out), dtype=np.uint64)[:, None]), whole) for out, whole in found]
 
 
 def edited(rng: np.random.Generator, item: np.ndarray, edits: int, kind: int, even: bool) -> np.ndarray:
@@ -110,8 +119,8 @@ def recalls(words: int, edits: int, size: int, places: int, walks: int) -> list[
     at = np.flatnonzero(np.arange(len(a)) + size <= a_ends)
     hit, out = np.zeros(len(items), bool), []
     for walk in range(walks):
-        one, whole = embed(a, at, a_ends[at], size, places, walk)
-        two, _ = embed(b, np.arange(len(b)), b_ends, size, places, walk)
+        [(one, whole)] = embed(a, at, a_ends[at], size, (places,), walk, check=True)
+        [(two, _)] = embed(b, np.arange(len(b)), b_ends, size, (places,), walk)
         for s in range(SAMPLES):
             own = a_owner[at][whole[s]]
             keys = one[s][whole[s]] ^ mix(own.astype(np.uint64) + np.uint64(1))
@@ -133,15 +142,13 @@ def plan(words: int, similarity: float = 0.75) -> tuple[int, int, int]:
         size = window_size(words, 0)
         return size, 2 * size, 1
     edits = math.ceil(least * (1 - similarity) - 1e-9)
-    best = (-1.0, (1, 1, 1))
     for size in range(window_size(least, edits), 0, -1):
         for places in range(min(size, 4), 0, -1):
             got = recalls(least, edits, size, places, 4 if places > 2 else 16)
             for walks, share in enumerate(got, 1):
                 if share >= RECALL:
                     return size, places, walks
-                best = max(best, (share, (size, places, walks)))
-    return best[1]
+    raise ValueError(f"no plan reaches a recall of {RECALL} for items of {words} words at similarity {similarity}")
 
 
 def best_match(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
@@ -187,8 +194,8 @@ class Table:
                 size = window_size(n, int(self.most[k]))
                 for way in {plan(n, similarity), (size, 2 * size, 1)}:
                     plans.setdefault(way, []).append(k)
-        #: (size, places, walk, sample) -> sorted hashes with item and offset, and a filter of the hashes.
-        self.samples: dict[tuple[int, int, int], list[tuple[np.ndarray, ...]]] = {}
+        #: (size, walk) -> places -> per sample: sorted hashes with item and offset, and a filter of the hashes.
+        self.samples: dict[tuple[int, int], dict[int, list[tuple[np.ndarray, ...]]]] = {}
         for size, places, walk in sorted({(s, p, w) for s, p, walks in plans for w in range(walks)}):
             own = sorted(k for (s, p, walks), ks in plans.items() if (s, p) == (size, places) and walk < walks for k in ks)
             every = np.concatenate([self.parts[k] for k in own])
@@ -197,14 +204,14 @@ class Table:
             offset = np.arange(len(every)) - np.repeat(ends - counts[own], counts[own])
             ends = np.repeat(ends, counts[own])
             at = np.flatnonzero(np.arange(len(every)) + size <= ends)
-            hashes, whole = embed(every, at, ends[at], size, places, walk)
+            [(hashes, whole)] = embed(every, at, ends[at], size, (places,), walk, check=True)
             for s in range(len(hashes)):
                 kept = hashes[s][whole[s]]
                 order = np.argsort(kept, kind="stable")
                 bits = max(16, (16 * len(kept)).bit_length())
                 there = np.zeros(1 << bits, bool)
                 there[kept >> np.uint64(64 - bits)] = True
-                self.samples.setdefault((size, places, walk), []).append(
+                self.samples.setdefault((size, walk), {}).setdefault(places, []).append(
                     (kept[order], item[at][whole[s]][order], offset[at][whole[s]][order], there, np.uint64(64 - bits)))
 
     def slots(self, item: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -304,9 +311,10 @@ def _candidates(words: np.ndarray, owner: np.ndarray, first: np.ndarray, last: n
         at = np.arange(low, min(low + BLOCK, len(words)))
         ends = last[owner[at]]
         held: list[np.ndarray] = []
-        for (size, places, walk), samples in table.samples.items():
-            hashes, _ = embed(words[low : low + BLOCK + size], at - low, ends - low, size, places, walk)
-            for own, (known, item, offset, there, shift) in zip(hashes, samples, strict=True):
+        for (size, walk), ways in table.samples.items():
+            made = embed(words[low : low + BLOCK + size], at - low, ends - low, size, tuple(ways), walk)
+            pairs = [x for (hashes, _), kept in zip(made, ways.values(), strict=True) for x in zip(hashes, kept, strict=True)]
+            for own, (known, item, offset, there, shift) in pairs:
                 maybe = np.flatnonzero(there[own >> shift])
                 start = np.searchsorted(known, own[maybe], "left")
                 number = np.searchsorted(known, own[maybe], "right") - start
