@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -38,6 +39,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """As ``saved``, but bucketed by a column, so that grouping by it later needs no shuffle.
+
+    The catalog only serves to write: the table's name is dropped at once, its files stay.
+    """
+    spark = df.sparkSession
+    table = f"tradewell_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, by).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tradewell-llm"
 
@@ -131,7 +145,31 @@ class Rolling:
         return mix((prefix[size:] - prefix[:count]) * self.backs[:count])
 
 
-_WORDS = Rolling(11)
+#: Words of at most so many bytes are hashed in arrays, eight bytes at a time; longer ones by BLAKE2b.
+LANES = 8
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end): bijections that are not linear, one lane after another.
+
+    A sum of byte values times powers would let somebody build words that meet at every base.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_GOLDEN) + np.uint64(11))
+    some = np.flatnonzero(size <= 8 * LANES)
+    for k in range(LANES):
+        some = some[size[some] > 8 * k]
+        if not len(some):
+            break
+        lane = lanes[start[some] + 8 * k] & _TAIL[np.minimum(size[some] - 8 * k, 8)]
+        out[some] = mix((out[some] ^ lane) * np.uint64(_GOLDEN) + np.uint64(k))
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def _pieces(text: bytes, size: int) -> Iterator[bytes]:
@@ -170,7 +208,7 @@ def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         per = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
         for i, n in zip(owner, per.tolist(), strict=True):
             counts[i] += n
-        parts.append(_WORDS.spans(_WORDS.prefix(data), start, end))
+        parts.append(_hashes(data, start, end))
         block.clear()
         owner.clear()
         held = 0
