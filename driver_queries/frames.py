@@ -15,7 +15,6 @@ from pyspark.sql.types import StructType
 
 from tradewell.functions.text import blank_to
 from tradewell.operators.enrich import Dimension, History, enrich
-from tradewell.operators.scd2 import day_window
 from tradewell.plans.marts import Star, sums_by
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,10 +201,12 @@ roles AS (
 # --- the enriched fact ---------------------------------------------------------------
 
 def role_lookup(spark: SparkSession, folder: str) -> History:
-    orders = table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    # Two dates, read once: as subqueries they would read the orders again in every place they stand.
+    first, last = table(spark, folder, "orders").agg(
+        F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
     return History(
         roles(spark, folder), {"cod_vendedor_erp": "cod_rol_erp", "empresa_erp": "empresa_erp"},
-        "id_rol_historia", "id_rol_historia_fk", window=day_window(orders, "d"), by_year=True,
+        "id_rol_historia", "id_rol_historia_fk", window=(F.lit(first), F.lit(last)), by_year=True,
     )
 
 

@@ -99,6 +99,16 @@ def test_groups_of_leaders_grow_with_the_input(docs, texts, monkeypatch):
     assert dealt[0] > 10
 
 
+@pytest.mark.parametrize("rounds", [9, 10])
+def test_words_built_by_doubling_are_apart(spark, rounds):
+    a, b = "ab", "ba"
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in jaccard.similar_documents(df).collect()) == [(1, 1, 1), (2, 1, 2)]
+    assert decontaminate.find_leaks(df, spark.createDataFrame([(5, a)], "item_id long, text string")).select("doc_id").collect() == [(1,)]
+
+
 def test_similar_documents_without_good_ids(spark):
     got = sorted(tuple(r) for r in jaccard.similar_documents(clashing(spark)).collect() if r[0] is not None)
     assert got == [(1, 4, 1), (2, 2, 2), (2, 4, 1)]
@@ -264,7 +274,7 @@ def test_rest_of_a_candidate_beside_a_base_span(spark):
 
 def test_randomness_battery():
     rng = random.Random(2)
-    places = {c: i for i, c in enumerate(secrets.ENCODINGS[4][1])}
+    places = {c: i for i, c in enumerate(dict(secrets.ENCODINGS)["base62"])}
     p = [secrets.battery("".join(rng.choice(list(places)) for _ in range(80)), places) for _ in range(300)]
     assert sum(x < 0.05 for x in p) < 30
     assert secrets.battery("abab" * 20, places) < 1e-6 and secrets.battery("thequickbrownfoxjumps" * 4, places) < 1e-6
@@ -315,6 +325,17 @@ def test_mixing(spark):
     assert mixing.copies(df.limit(0)).count() == 0
 
 
+def test_rows_without_ids_spread_over_the_groups(spark):
+    """A third of all rows has no id; their texts alone deal them out."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * 8, "s") for i in range(20_000)]
+    got = mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                                              F.md5("text"))), 1, 8), 16, 10).cast("long")
+    groups = 1 << (20_000 // mixing.GROUP).bit_length()
+    largest = got.groupBy(F.floor(key * groups / (1 << 32))).count().agg(F.max("count")).first()[0]
+    assert got.count() == 20_000 and largest <= 2 * mixing.GROUP
+
+
 # --- 8 -----------------------------------------------------------------------------------
 
 def test_urls(spark):
@@ -436,6 +457,30 @@ def test_tokens(spark, texts, width, tmp_path):
     assert tokens.read_tokens(empty_manifest, width).count() == 0
 
 
+def test_encoder_memory_is_bounded_in_bytes(monkeypatch):
+    """Long pieces are never remembered, and what is remembered starts anew beyond its bytes."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMORY", 100_000)
+    tokenizer, encoder, rng = Tokenizer.from_file(queries.vocabulary()), tokens.Encoder(queries.vocabulary(), np.dtype("<u2")), random.Random(4)
+    long = "".join(rng.choice("abcdefgh,") for _ in range(200_000))
+    most = 0
+    for _ in range(40):
+        texts = [" ".join(words(rng, 50, 10**6)) for _ in range(5)] + [f"a {long}. b" if _ == 7 else "x"]
+        got = encoder.batch(texts)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        most = max(most, len(encoder.known))
+        assert all(len(x) <= tokens.LONGEST for x in encoder.known)
+    assert most < 1500 and encoder.held < 300_000
+
+
+def test_tokens_of_a_long_piece_without_spaces(spark):
+    text = "".join(random.Random(8).choice("abcdefgh") for _ in range(2_000_000))
+    manifest = tokens.write_tokens(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), queries.vocabulary(), width=2)
+    got = {r.doc_id: r.n_tokens for r in tokens.read_tokens(manifest, 2).collect()}
+    assert got[2] == 2 and got[1] > 100_000
+
+
 def test_encoder_of_odd_texts():
     """Lowering, marks behind words and letters that decompose change no id."""
     from tokenizers import Tokenizer

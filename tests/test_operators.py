@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date
 
 import pytest
@@ -290,6 +291,35 @@ def test_enrich_keeps_every_row(spark, sized):
     assert enrich.present(out, ["nope", "prod", "id_rol_fk"]) == ["prod", "id_rol_fk"]
 
 
+def test_dimensions_resolved_together_agree_with_one_by_one(spark, monkeypatch):
+    """Null, unknown and repeated keys, keys of several columns and types, extras, hot keys; exchanges of the fact."""
+    rng = random.Random(6)
+    fact = spark.createDataFrame(
+        [(rng.choice([1, 1, 1, 2, 3, 99, None]), rng.choice(["a", "a:b", "", None, "zz"]), rng.choice(["v1", "v2", None]),
+          d(rng.choice(["2025-01-15", "2025-04-15", "2024-01-01"])) if rng.random() < 0.9 else None, i % 7) for i in range(400)],
+        "p int, q string, s string, f date, n int")
+    dims = [
+        enrich.Dimension(spark.createDataFrame([(1, 10, "uno"), (2, 20, None)], "cod long, id int, nombre string"), {"p": "cod"}, "id", "p_fk",
+                         {"nombre": "nombre_p"}),
+        enrich.Dimension(spark.createDataFrame([("a", "v1", 5), ("a:b", "v1", 6), ("", "v2", 7)], "q string, s string, id long"),
+                         {"q": "q", "s": "s"}, "id", "q_fk"),
+        enrich.History(history(spark), {"s": "k"}, "id", "rol_fk", day="f", start="ini", end="fin"),
+        enrich.Dimension(spark.createDataFrame([(k, k * 2) for k in range(5)], "n int, id int"), {"n": "n"}, "id", "n_fk"),
+    ]
+    monkeypatch.setattr(enrich, "is_small", lambda df: True)
+    want = enrich.enrich(fact, dims)
+    monkeypatch.setattr(enrich, "is_small", lambda df: False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = enrich.enrich(fact, dims)
+        assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want)
+        # The requests, the dimensions, and requests and rows by number.
+        assert got.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # --- nested stock ----------------------------------------------------------------------
 
 def test_flatten_stock(spark):
