@@ -10,6 +10,7 @@ from driver_queries.frames import (
 from tradewell.functions import text
 from tradewell.operators import keys, lookup, merge
 from tradewell.plans.marts import Star, sums_by
+from tradewell.session import ensure_checkpoint_dir
 
 LAST_ORDER = """SELECT o_custkey AS cliente, fecha, o_orderpriority AS prioridad, valor FROM (
     SELECT *, CAST(o_orderdate AS DATE) AS fecha, CAST(o_totalprice AS DECIMAL(12,2)) AS valor,
@@ -37,8 +38,10 @@ SELECT COALESCE(s.cliente, t.cliente) AS cliente,
 FROM t FULL JOIN s ON s.cliente = t.cliente""")
 def upsert_full(spark, folder):
     placed = F.col("o_orderdate").cast("date")
-    target = _last_order(spark, folder, placed < day("1998-06-01"))
-    source = _last_order(spark, folder, placed >= day("1998-06-01"))
+    # Both are stored, as a table and the feed of a job are: a merge reads them twice.
+    ensure_checkpoint_dir(spark)
+    target = _last_order(spark, folder, placed < day("1998-06-01")).checkpoint()
+    source = _last_order(spark, folder, placed >= day("1998-06-01")).checkpoint()
     return doubles(merge.upsert(target, source, ["cliente"]), "valor")
 
 

@@ -55,14 +55,10 @@ m AS (SELECT p_brand AS marca, CAST(year(fecha_sk) AS INTEGER) AS anio, SUM(valo
 SELECT marca, anio, CAST(base AS DOUBLE) AS valor_base, CAST(costo AS DOUBLE) AS costo_total, lineas,
        CAST(base - costo AS DOUBLE) AS margen, CAST(base - costo AS DOUBLE) / CAST(base AS DOUBLE) AS margen_pct FROM m""")
 def mart_margin(spark, folder):
-    """Cost is the part's price times the quantity; the lines carry it like a feed does."""
-    costed = lookup(
-        sales(spark, folder), table(spark, folder, "part"), {"codigo_producto_erp": "p_partkey"},
-        {"p_retailprice": "precio", "p_brand": "marca"},
-    )
-    return doubles(marts.margin(
-        costed, base(), money("precio") * F.col("cantidad"), [], ["marca", "anio"],
-        {"marca": F.col("marca"), "anio": F.year("fecha_sk")},
+    """Cost is the part's price times the quantity; lines are summed by part and year before they meet the parts."""
+    part = Star(table(spark, folder, "part"), "codigo_producto_erp", "p_partkey", {"p_retailprice": "precio", "p_brand": "marca"})
+    return doubles(marts.margin_by_price(
+        sales(spark, folder), base(), F.col("cantidad"), part, money("precio"), ["marca", "anio"], {"anio": F.year("fecha_sk")},
     ), "valor_base", "costo_total", "margen")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewell.operators.hierarchy import weighted_tree
+from tradewell.operators.sizing import is_small
 from tradewell.session import ensure_checkpoint_dir
 
 # Calculation kinds of a rule item and the scope that takes all lines.
@@ -33,25 +34,32 @@ def sum_of_base(
 ) -> DataFrame:
     """Base value by rule item, role and period.
 
-    Lines are summed by role, period and line first; only those sums are doubled for their two
-    scopes and meet the items, so no scope holds a large share of the fact's rows.
+    Items that may be broadcast meet the rows where they are read, and one aggregate follows. For
+    more items, lines are summed by role, period and line first; only those sums are doubled for their
+    two scopes and shuffled to the items, so no scope holds a large share of the fact's rows.
     """
-    sums = sales.groupBy(role, period, line).agg(F.sum(value).alias("__v"))
-    scoped = sums.select(role, period, "__v", _scopes(line).alias("__scope"))
-    return (
-        scoped.join(_items(items, SUM_OF_BASE), "__scope").groupBy("id_item_regla", role, period)
-        .agg(F.sum("__v").cast(sums.schema["__v"].dataType).alias("valor_logrado"))
-    )
+    wanted = _items(items, SUM_OF_BASE)
+    kind = sales.agg(F.sum(value)).schema[0].dataType
+    if is_small(wanted):
+        rows = sales.select(role, period, F.col(value).alias("__v"), _scopes(line).alias("__scope"))
+    else:
+        sums = sales.groupBy(role, period, line).agg(F.sum(value).alias("__v"))
+        rows = sums.select(role, period, "__v", _scopes(line).alias("__scope"))
+    return rows.join(wanted, "__scope").groupBy("id_item_regla", role, period).agg(
+        F.sum("__v").cast(kind).alias("valor_logrado"))
 
 
 def client_impacts(
     sales: DataFrame, role: str, period: str, line: str, client: str, items: DataFrame
 ) -> DataFrame:
-    """Distinct clients sold to by rule item, role and period, from distinct clients per line."""
-    sold = sales.select(role, period, line, client).distinct()
+    """Distinct clients sold to by rule item, role and period; for many items, from distinct clients per line."""
+    wanted = _items(items, CLIENT_IMPACTS)
+    sold = sales.select(role, period, line, client)
+    if not is_small(wanted):
+        sold = sold.distinct()
     scoped = sold.select(role, period, client, _scopes(line).alias("__scope"))
     return (
-        scoped.join(_items(items, CLIENT_IMPACTS), "__scope")
+        scoped.join(wanted, "__scope")
         .groupBy("id_item_regla", role, period)
         .agg(F.countDistinct(client).alias("valor_logrado"))
     )

@@ -84,16 +84,36 @@ def sales_rollup(
     return rollup_levels(grouped, by, [*measures, "lineas"])
 
 
+def with_margin(sums: DataFrame, base: str = "valor_base", cost: str = "costo_total") -> DataFrame:
+    """Adds the difference of two sums, and it as a share of the base."""
+    difference = F.col(base) - F.col(cost)
+    return sums.withColumn("margen", difference).withColumn(
+        "margen_pct", F.try_divide(difference.cast("double"), F.col(base).cast("double"))
+    )
+
+
 def margin(
     fact: DataFrame, base: Column, cost: Column, stars: list[Star], by: list[str],
     own: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Base value, cost and their difference, with the margin as a share of the base."""
-    sums = sums_by(fact, {"valor_base": base, "costo_total": cost}, stars, by, own)
-    difference = F.col("valor_base") - F.col("costo_total")
-    return sums.withColumn("margen", difference).withColumn(
-        "margen_pct", F.try_divide(difference.cast("double"), F.col("valor_base").cast("double"))
-    )
+    return with_margin(sums_by(fact, {"valor_base": base, "costo_total": cost}, stars, by, own))
+
+
+def margin_by_price(
+    fact: DataFrame, base: Column, quantity: Column, product: Star, price: Column, by: list[str],
+    own: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``margin`` where the cost of a unit is the product's: quantities are summed per product before its row is met.
+
+    ``price`` is a column over what ``product`` takes.
+    """
+    own = own or {}
+    sums = sums_by(fact, {"valor_base": base, "__cantidad": quantity}, [], [product.fk, *own], own | {product.fk: F.col(product.fk)})
+    costed = lookup(sums, product.table, {product.fk: product.key}, product.take)
+    total = price * F.col("__cantidad")
+    return with_margin(costed.groupBy(*by).agg(
+        F.sum("valor_base").alias("valor_base"), F.sum(total).alias("costo_total"), F.sum("lineas").alias("lineas")))
 
 
 def returns(
