@@ -95,3 +95,41 @@ def test_days(spark, tmp_path):
     assert len(plan.inputFiles()) >= 1 and rows(plan.select("k")) == [(1,), (2,), (6,)]
     days.replace_all(frame())
     assert days.read().count() == 0
+
+
+# --- checks of changed parts ---------------------------------------------------------------
+
+def test_only_changed_days_are_checked_again(spark, tmp_path):
+    from tradewell.operators.quality import duplicate_keys
+    from tradewell.plans.checks import PartCheck
+
+    days = PartTable(spark, str(tmp_path / "d"), StructType().add("k", IntegerType()).add("d", DateType()), column="d")
+    findings = StructType().add("d", DateType()).add("k", IntegerType()).add("filas", "long")
+    read = []
+
+    def check(rows_):
+        read.append({r[0].day for r in rows_.select("d").distinct().collect()})
+        return duplicate_keys(rows_, ["d", "k"])
+
+    def frame(*pairs):
+        return spark.createDataFrame([(k, date(2025, 3, x)) for k, x in pairs], "k int, d date")
+
+    def day(x):
+        return days.part_of(date(2025, 3, x))
+
+    def checker(signature="a"):
+        return PartCheck(days, str(tmp_path / "c"), findings, check, signature)
+
+    assert checker().run() == [] and checker().report().count() == 0
+    days.replace(frame((1, 1), (1, 1), (2, 2), (3, 3), (3, 3), (3, 3)))
+    assert checker().run() == [day(1), day(2), day(3)] and checker().run() == []
+    days.replace(frame((2, 2), (2, 2)), gone=[day(3)])
+    days.append(frame((5, 4), (5, 4)))
+    assert checker().run() == [day(2), day(4)]
+    assert rows(checker().report()) == rows(duplicate_keys(days.read(), ["d", "k"]).select("d", "k", "filas"))
+    days.replace(frame((1, 1)))
+    assert checker().run() == [day(1)] and rows(checker().report().select("k")) == [(2,), (5,)]
+    assert read[1:] == [{1, 2, 3}, {2, 4}, {1}]
+    assert checker("b").run() == [day(1), day(2), day(4)]
+    with pytest.raises(ValueError):
+        PartCheck(days, str(tmp_path / "c"), StructType().add("k", IntegerType()), check)
