@@ -1,8 +1,9 @@
 """A training corpus from raw documents: five stages, each an operator of ``tradewell.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents. Every row is judged
-by its own text, also where ids are null or repeat.
+again as the next one's docs. All but the last return the columns of documents, whatever these are; only
+names that begin with two underscores are reserved. Every row is judged by its own text, also where ids
+are null or repeat; null texts count as empty, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the operator predicts to be toxic go; the model learns from the labelled rows among ``docs``.
+
+    Rows without text have the lowest score and stay, and so does every row if no label is known. Rows of one id
+    are scored each by its own text.
+    """
     model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, threshold=THRESHOLD).filter("__predicted = 0").select(*docs.columns)
 
@@ -48,16 +54,25 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark item within its edits go, however long they are; rows without text stay."""
     rows, row = numbered(docs)
     leaks = saved(decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), row), "leaks")
     return without(rows, leaks, row).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, from never to three times; a null source is a source of its own.
+
+    A source without words takes nothing. Repeated rows are sampled like any others.
+    """
     return mixing.mixed(docs)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every row from the files written; rows without text have the end id only.
+
+    Null ids come first, rows of one id one after another.
+    """
     return tokens.read_tokens(tokens.write_tokens(docs, vocabulary(), width=2), width=2)
 
 
