@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import prepare, saved
+from tradewell.llm.common import prepare, saved, texts_of
 
 #: Kind, pattern, group that is measured and its least length. Fixed values.
 BASE = (
@@ -24,19 +24,28 @@ BASE = (
 _HEX = re.compile("[0-9a-f]{24,}")
 _KEYED = re.compile(r"[=:]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_CANDIDATE_BYTES = re.compile(_CANDIDATE.pattern.encode())
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings, smallest first: the first that holds all characters of a candidate is inferred.
-#: A kind needs the marks beside it, or ordinary words would count as badly encoded bytes.
 ENCODINGS = (
-    ("hexlower", "0123456789abcdef", ("0-9", "a-f")),
-    ("hexupper", "0123456789ABCDEF", ("0-9", "A-F")),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ("2-7", "A-Z")),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", ("0-9", "a-z")),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", ("0-9", "A-Z", "a-z")),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", ("0-9", "A-Z", "a-z")),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", ("0-9", "A-Z", "a-z")),
+    ("digits", _DIGITS),
+    ("hexlower", _DIGITS + "abcdef"),
+    ("hexupper", _DIGITS + "ABCDEF"),
+    ("lower", _LOWER),
+    ("upper", _UPPER),
+    ("base32", _UPPER + "234567"),
+    ("base36", _DIGITS + _LOWER),
+    ("letters", _UPPER + _LOWER),
+    ("base62", _DIGITS + _UPPER + _LOWER),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
 )
-_SETS = [(name, {c: i for i, c in enumerate(chars)}, re.compile("".join(f"(?=.*[{m}])" for m in marks)))
-         for name, chars, marks in ENCODINGS]
+_SETS = [(name, {c: i for i, c in enumerate(chars)}) for name, chars in ENCODINGS]
+#: How often letters occur in English, in hundredths of a percent from a to z. Fixed values.
+ENGLISH = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)
+#: What counts as ordinary before any text is seen: letters, one in 25 a capital, some digits and marks; and
+#: as how many seen characters it counts.
+CAPITALS, DIGITS, MARKS, PRIOR = 0.04, 0.005, 0.002, 100_000.0
 
 
 def _upper_chi2(x: float, df: int) -> float:
@@ -52,12 +61,45 @@ def _two_sided(z: float) -> float:
 
 
 def infer(text: str) -> tuple[str, dict[str, int]] | None:
-    """The smallest encoding whose alphabet holds the text, if the text shows its marks."""
-    body = text.rstrip("=")
-    for name, places, marks in _SETS:
-        if all(c in places for c in set(body)):
-            return (name, places) if marks.match(body) else None
-    return None
+    """The smallest encoding whose alphabet holds the text."""
+    seen = set(text.rstrip("="))
+    return next(((name, places) for name, places in _SETS if seen <= places.keys()), None)
+
+
+def ordinary(counts: np.ndarray) -> dict[str, tuple[np.ndarray, float, float]]:
+    """Per encoding: each character's log ratio of uniform to ordinary text, and its mean and variance in ordinary text.
+
+    ``counts`` are the bytes of all texts outside of candidates; ``PRIOR`` characters of the usual
+    frequencies count besides them. Digits are taken to be uniform: of numbers, none is more ordinary
+    than another, so a string of digits alone is never evidence.
+    """
+    usual = np.zeros(256)
+    for letters, share in ((_LOWER, 1 - CAPITALS), (_UPPER, CAPITALS)):
+        for c, n in zip(letters, ENGLISH, strict=True):
+            usual[ord(c)] = share * n / sum(ENGLISH)
+    for marks, share in ((_DIGITS, DIGITS), ("+/_-", MARKS)):
+        for c in marks:
+            usual[ord(c)] = share / len(marks)
+    seen = counts + PRIOR * usual / usual.sum()
+    digits = [ord(c) for c in _DIGITS]
+    seen[digits] = seen[digits].mean()
+    out = {}
+    for name, chars in ENCODINGS:
+        share = seen[[ord(c) for c in chars]]
+        share = share / share.sum()
+        ratio = -np.log(share * len(chars))
+        mean = float(share @ ratio)
+        out[name] = ratio, mean, float(share @ (ratio - mean) ** 2)
+    return out
+
+
+def evidence(text: str, places: dict[str, int], known: tuple[np.ndarray, float, float]) -> float:
+    """The p-value of "ordinary text": how often ordinary characters would look as random as these, or more."""
+    ratio, mean, variance = known
+    x = ratio[[places[c] for c in text.rstrip("=")]]
+    if variance < 1e-9:
+        return 1.0
+    return 0.5 * math.erfc((float(x.sum()) - len(x) * mean) / math.sqrt(2 * variance * len(x)))
 
 
 def battery(text: str, places: dict[str, int]) -> float:
@@ -110,33 +152,66 @@ def outside(text: str, found: list[tuple[int, int, str]]) -> Iterator[tuple[int,
             yield part.span()
 
 
+def character_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often each byte occurs in all texts outside of candidates; 256 numbers a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(256, np.int64)
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                held += np.bincount(np.frombuffer(_CANDIDATE_BYTES.sub(b" ", text), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int64()), pa.array(held)], ["byte", "n"])
+
+    out = np.zeros(256)
+    for byte, n in docs.select(F.col(text_col).cast("string")).mapInArrow(count, "byte long, n long").groupBy("byte").agg(
+            F.sum("n")).collect():
+        out[byte] = n
+    return out
+
+
+def thresholds(groups: dict[tuple[str, int], dict[int, int]], rate: float) -> dict[tuple[str, int], int]:
+    """Per group the least bin that Benjamini and Hochberg's rule calls a discovery, from counts per bin.
+
+    A bin k holds p-values of at most 10^(-k/20); all of a bin count as that.
+    """
+    out = {}
+    for group, bins in groups.items():
+        total, upto = sum(bins.values()), 0
+        for place in sorted(bins, reverse=True):
+            upto += bins[place]
+            if 10 ** (-place / 20) <= rate * upto / total:
+                out[group] = place
+    return out
+
+
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, least: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, miss: float = 0.001,
 ) -> DataFrame:
-    """(id, base, added) of every row: secrets as lists of (start, end, kind) in code points.
-
-    ``base`` are the matches of the fixed patterns. ``added`` are candidates outside of them,
-    strings of 16 and more characters in a known encoding, that look drawn at random: the null
-    hypothesis is that a candidate is uniform over its encoding's alphabet, and ordinary text
-    is what the tests reject. Rejections are chosen by Benjamini and Hochberg's rule at
-    ``rate`` within each encoding and doubling of the length, over all candidates of the table,
-    so at most that share of what is set aside as ordinary text is expected to be random. The rate
-    says nothing of how many of the reported strings are ordinary. Of a candidate that overlaps
-    a base span, the rest is judged.
-    What is not rejected counts as a secret if it has ``least`` characters and if its length lets the
-    tests see anything: text on a quarter of the alphabet would be rejected.
-
-    P-values are counted in bins, so the rule needs a few thousand counts, not the candidates.
+    """(id, base, added, n_tested, n_random) of every row: secrets as lists of (start, end, kind) in code points.
+
+    ``base`` are the matches of the fixed patterns. Outside of them every string of 16 or more
+    characters of a known encoding is a candidate and is tested; of one that overlaps a base span, the
+    rest is. ``added`` are the candidates that pass two rules:
+    * the battery does not reject "drawn uniformly from the inferred alphabet" at ``miss`` (chi-squared over
+      the characters, runs, serial correlation): one in 1/``miss`` random strings is lost here;
+    * "ordinary text" is rejected (``evidence``, by the characters' frequencies in these texts) by Benjamini and
+      Hochberg's rule at ``rate`` within each encoding and doubling of the length, over all candidates of the
+      table: among the reported strings of a group, the expected share of ordinary ones is at most ``rate``, as
+      far as ordinary strings are characters drawn at those frequencies. What length it takes
+      follows from that, and differs by encoding.
+
+    ``n_tested`` are the row's candidates, ``n_random`` those that the battery lets pass. P-values are counted
+    in bins, so the rule needs a few thousand counts, not the candidates. Digits alone are never reported.
     Null and empty texts have no spans. Rows are told apart by position only: ids may repeat.
     """
     prepare(docs.sparkSession)
-    kinds = [e[0] for e in ENCODINGS]
-    order = [k for k, *_ in BASE] + kinds
+    order = [k for k, *_ in BASE] + [k for k, _ in ENCODINGS]
+    known = ordinary(character_counts(docs, text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
         candidate = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()),
-                               ("stratum", pa.int32()), ("bin", pa.int32())])
+                               ("stratum", pa.int32()), ("bin", pa.int32()), ("random", pa.bool_())])
         for batch in batches:
             base, more = [], []
             for text in batch.column("text").to_pylist():
@@ -144,12 +219,11 @@ def find_secrets(
                 found = base_spans(text)
                 own = []
                 for start, end in outside(text, found):
-                    got = infer(text[start:end])
-                    if got:
-                        p = battery(text[start:end], got[1])
-                        own.append({"start": start, "end": end, "kind": got[0],
-                                    "stratum": (end - start).bit_length(),
-                                    "bin": min(400, int(-20 * math.log10(max(p, 1e-20))))})
+                    if got := infer(text[start:end]):
+                        p = evidence(text[start:end], got[1], known[got[0]])
+                        own.append({"start": start, "end": end, "kind": got[0], "stratum": (end - start).bit_length(),
+                                    "bin": min(400, int(-20 * math.log10(max(p, 1e-20)))),
+                                    "random": battery(text[start:end], got[1]) >= miss})
                 found.sort(key=lambda s: (s[0], order.index(s[2])))
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
                 more.append(own)
@@ -160,32 +234,22 @@ def find_secrets(
     spans = "array<struct<start:long,end:long,kind:string>>"
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         scan, f"id {docs.schema[id_col].dataType.simpleString()}, base {spans}, "
-              "more array<struct<start:long,end:long,kind:string,stratum:int,bin:int>>")
+              "more array<struct<start:long,end:long,kind:string,stratum:int,bin:int,random:boolean>>")
     found = saved(found, "secret-spans")
     counts = found.select(F.explode("more").alias("c")).groupBy("c.kind", "c.stratum", "c.bin").count().collect()
-    # The largest p-value (smallest bin) up to which Benjamini and Hochberg's rule rejects.
-    first: dict[tuple[str, int], int] = {}
     groups: dict[tuple[str, int], dict[int, int]] = {}
     for kind, stratum, place, n in counts:
         groups.setdefault((kind, stratum), {})[place] = n
-    for group, bins in groups.items():
-        total, below = sum(bins.values()), 0
-        for place in sorted(bins, reverse=True):
-            below += bins[place]
-            if 10 ** (-place / 20) <= rate * below / total:
-                first[group] = place
-    # Text on a quarter of an alphabet of s characters has a chi-squared of about 3 n.
-    sees = {name: next(n for n in range(1, 10_000) if _upper_chi2(3 * n, len(chars) - 1) < rate)
-            for name, chars, _ in ENCODINGS}
-    limits = F.create_map(*[F.lit(x) for (k, s), b in first.items() for x in (f"{k}{s}", b)]) if first else None
-    lengths = F.create_map(*[F.lit(x) for k, n in sees.items() for x in (k, max(n, least))])
+    limits = thresholds(groups, rate)
+    lowest = F.create_map(*[F.lit(x) for (k, s), b in limits.items() for x in (f"{k}{s}", b)]) if limits else None
 
     def secret(c):
-        long = c["end"] - c["start"] >= lengths[c["kind"]]
-        if limits is None:
-            return long
-        return long & F.coalesce(c["bin"] < limits[F.concat(c["kind"], c["stratum"].cast("string"))], F.lit(True))
+        if lowest is None:
+            return F.lit(False)
+        return c["random"] & F.coalesce(c["bin"] >= lowest[F.concat(c["kind"], c["stratum"].cast("string"))], F.lit(False))
 
     added = F.transform(F.filter("more", secret), lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return found.select(F.col("id").alias(id_col), "base", added.alias("added"))
+    return found.select(
+        F.col("id").alias(id_col), "base", added.alias("added"), F.size("more").cast("long").alias("n_tested"),
+        F.size(F.filter("more", lambda c: c["random"])).cast("long").alias("n_random"))
