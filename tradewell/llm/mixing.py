@@ -46,19 +46,22 @@ def copies(
 
     A row's size is its number of words. Sources are numbered by code point, null last, and weigh
     1, 2, 3, 1 and so on; their targets follow from ``source_targets``. All rows of a source expect
-    the same number of copies, target / source size. Ordered by size class and a hash of the id,
+    the same number of copies, target / source size. Ordered by size class and a hash of id and text,
     their expected copies are summed up; with one random offset for the source, a row is
     emitted once for every integer that its own share crosses. Size classes keep the taken size close to
     the target; md5 makes reruns agree.
 
     A row's place in its source is the sum of the counts of earlier classes, of earlier hash
     groups of its class, and its place in the group. A group holds about ``GROUP`` rows however
-    large the source is, so no task orders a whole source. Null texts and texts without words have
+    large the source is and however many ids are null or equal; only rows that agree in id and text share
+    a group in any number. Null texts and texts without words have
     size 0, and a source without words has target 0 and takes nothing. Rows that repeat an
-    id and size are interchangeable. Column names that begin with two underscores are reserved.
+    id and text are interchangeable. Column names that begin with two underscores are reserved.
     """
     prepare(docs.sparkSession)
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    key = F.md5(F.concat_ws(
+        "|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
+        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     bits = F.bin("__size")
     rows = docs.withColumn("__size", words_in(F.col(text_col))).withColumns({
         # Four classes for each doubling of the size.
@@ -105,6 +108,6 @@ def copies(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as ``copies`` says."""
+    """The mix itself: the columns of ``docs``, each row as often as ``copies`` says, and as odd rows are treated there."""
     return copies(docs, **options).filter("__copies > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)

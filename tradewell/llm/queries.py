@@ -68,7 +68,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op2_embedding_dedup")
+@query("op2_embedding_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x,
+    list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+    AND list_bool_or(list_transform(embedding, lambda e: e <> 0)) AS usable FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.usable AND b.usable AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT links.b, root FROM reach JOIN links ON links.a = node),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+many AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, root = vec_id AS kept
+FROM v JOIN least ON node = vec_id LEFT JOIN many ON a = vec_id""")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -80,7 +92,20 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(node, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT links.b, root FROM reach JOIN links ON links.a = node),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, root AS component_id FROM s JOIN least ON node = doc_id""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
@@ -99,7 +124,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
     return found.select(
         "doc_id", *map(number, ("assign", "access", "hex")),
-        F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(every).alias("spans"))
+        F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), spelled(every).alias("spans"), "n_tested", "n_random")
 
 
 @query("op6_chat", """
@@ -127,7 +152,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_mix", r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS hash,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
   FROM sized GROUP BY source),
@@ -139,7 +165,7 @@ targets AS (
   SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, k) FROM levels WHERE cap >= level * weight)) AS target FROM levels),
 keyed AS (
   SELECT *, length(bin(size)) * 4 + CASE rpad(substr(bin(size), 2, 2), 2, '0') WHEN '00' THEN 0 WHEN '01' THEN 1 WHEN '10' THEN 2 ELSE 3 END AS class,
-    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS key FROM sized),
+    ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || hash), 1, 8))::BIGINT AS key FROM sized),
 placed AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY class, key, doc_id, size) AS n FROM keyed),
 shares AS (
