@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -247,6 +249,15 @@ def shingle_sets(texts: Iterable[bytes], size: int) -> Iterator[np.ndarray]:
         at += count
 
 
+def release_memory() -> None:
+    """Gives back what earlier tasks of this Python worker have freed: workers are reused, and keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

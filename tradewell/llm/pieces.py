@@ -21,7 +21,7 @@ from tradewell.llm.common import bucketed, prepare
 #: What the library writes for a space.
 MARK = "▁"
 #: Letters of text in a block of documents, which shares one list of chunks.
-BLOCK_LETTERS = 16 << 20
+BLOCK_LETTERS = 8 << 20
 #: Bytes of all texts per part of the table of distinct chunks.
 PART_BYTES = 64 << 20
 #: Chunks that are numbered or segmented at once.
@@ -196,7 +196,7 @@ def encode_pieces(
 ) -> DataFrame:
     """(``id_col``, ids): the ids that the sentencepiece library gives each text, and its end id.
 
-    Texts are cut before each run of space marks. A block of documents (16 M letters, one document at
+    Texts are cut before each run of space marks. A block of documents (8 M letters, one document at
     least) holds the list of its distinct chunks and, per document, the chunks' numbers. Blocks are
     written once, bucketed, so numbers never change and documents are not shuffled. The blocks' lists are
     dealt by checksum into parts, which make the table of distinct chunks; each is segmented once

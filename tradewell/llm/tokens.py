@@ -6,7 +6,7 @@ import math
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import prepare, saved, shared_folder
+from tradewell.llm.common import prepare, release_memory, saved, shared_folder
 
 #: Bytes of text per file.
 FILE_BYTES = 256 << 20
-#: Words whose ids a task remembers.
-MEMORY = 1_000_000
+#: Bytes that a task spends on words whose ids it remembers, and letters of the longest such word.
+MEMORY, LONGEST = 96 << 20, 64
 #: New words that are encoded at once.
 TOGETHER = 2000
 #: Letters that a tokenizer is asked about, and marks that often stand behind a word.
@@ -33,7 +33,9 @@ class Encoder:
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of
     its pieces between spaces, tabs and line ends; pieces that have been seen are not encoded
-    again. ``whole`` encodes texts at once, for tokenizers of another kind.
+    again. What is remembered is bounded in bytes (``MEMORY``) and holds no long piece (``LONGEST``):
+    there are two generations of half that size, and a piece that is not seen for a whole one is forgotten.
+    ``whole`` encodes texts at once, for tokenizers of another kind.
 
     What the tokenizer does to letters is asked of it once: if it lowers case, A-Z are lowered
     first; if it parts a word from the mark behind it, the two are encoded apart; if it leaves words of
@@ -46,6 +48,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
         # A special token cuts a text before anything else looks at it, so it can stand between pieces.
         self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                           if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
@@ -102,6 +106,8 @@ class Encoder:
     def _stem(self, piece: str) -> tuple[str, str]:
         """A word of letters, lowered, and the mark behind it; any other piece as it is."""
         word, behind = piece, ""
+        if len(piece) > LONGEST:
+            return piece, ""
         # Letters up to U+00FF end in a letter still when they are lowered and composed.
         if self.trims and piece[-1:] in TRAILING and piece[-2:-1] <= "\xff":
             word, behind = piece[:-1], piece[-1]
@@ -109,14 +115,27 @@ class Encoder:
             return piece, ""
         return word.encode().lower().decode() if self.lowers else word, behind
 
+    def _hold(self, pieces: Iterable[str]) -> None:
+        """Counts what pieces take: two objects and a place in the table for each, and up to four bytes a letter."""
+        known = self.known
+        self.held += sum(240 + 4 * len(x) + len(known[x]) for x in pieces if len(x) <= LONGEST)
+
+    def _missing(self, pieces: set[str]) -> list[str]:
+        """The pieces that neither generation knows; those of the old one move to the new one."""
+        known, before = self.known, self.before
+        unknown = pieces - known.keys()
+        again = unknown & before.keys()
+        known.update([(x, before[x]) for x in again])
+        self._hold(again)
+        return list(unknown - again)
+
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that are not known yet."""
-        new = [x for x in pieces if x not in self.known]
-        if len(self.known) + 2 * len(new) > MEMORY:
-            self.known.clear()
-            new = list(pieces)
+        if self.held > MEMORY // 2:
+            self.known, self.before, self.held = {}, self.known, 0
+        new = self._missing(pieces)
         stems = [self._stem(x) for x in new]
-        need = [x for x in {x for pair in stems for x in pair} if x not in self.known]
+        need = self._missing({x for pair in stems for x in pair})
         words = [x for x in need if x.isalpha()]
         plain = [] if self.plain is None else [x for x in words if x.isascii() and (self.lowers or x.islower())]
         easy = set(plain)
@@ -125,6 +144,7 @@ class Encoder:
         self._learn_pieces(odd + [x for x in need if not x.isalpha()])
         known = self.known
         known.update([(x, known[a] + known[b]) for x, (a, b) in zip(new, stems, strict=True)])
+        self._hold({*need, *new})
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -136,10 +156,14 @@ class Encoder:
             return self._pack(texts)
         out: list[bytes] = []
         parts = [self.pieces(x) for x in texts]
-        self.learn({x for part in parts for x in part})
+        every = {x for part in parts for x in part}
+        self.learn(every)
         known = self.known
         for part in parts:
             out.append(b"".join([known[x] for x in part]))
+        for x in every:
+            if len(x) > LONGEST:
+                del known[x]
         return out
 
 
@@ -180,6 +204,7 @@ def write_tokens(
         task = TaskContext.get()
         path = f"{target}/{task.partitionId():08d}-{task.taskAttemptId()}"
         os.makedirs(target, exist_ok=True)
+        release_memory()
         encode = Encoder(tokenizer, dtype, whole)
         end = np.array([end_id], dtype).tobytes()
         offset, n_docs = 0, 0
