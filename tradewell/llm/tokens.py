@@ -20,7 +20,7 @@ from tradewell.llm.common import prepare, release_memory, saved, shared_folder
 #: Bytes of text per file.
 FILE_BYTES = 256 << 20
 #: Bytes that a task spends on words whose ids it remembers, and letters of the longest such word.
-MEMORY, LONGEST = 96 << 20, 64
+MEMORY, LONGEST = 256 << 20, 64
 #: New words that are encoded at once.
 TOGETHER = 2000
 #: Letters that a tokenizer is asked about, and marks that often stand behind a word.
@@ -33,7 +33,7 @@ class Encoder:
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of
     its pieces between spaces, tabs and line ends; pieces that have been seen are not encoded
-    again. What is remembered is bounded in bytes (``MEMORY``) and holds no long piece (``LONGEST``):
+    again. What is remembered is bounded in bytes (``memory``, by default ``MEMORY``) and holds no long piece (``LONGEST``):
     there are two generations of half that size, and a piece that is not seen for a whole one is forgotten.
     ``whole`` encodes texts at once, for tokenizers of another kind.
 
@@ -42,14 +42,14 @@ class Encoder:
     a-z as they are, those go to its model without its normalizer and patterns.
     """
 
-    def __init__(self, path: str, dtype: np.dtype, whole: bool = False):
+    def __init__(self, path: str, dtype: np.dtype, whole: bool = False, memory: int | None = None):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.memory = 0, MEMORY if memory is None else memory
         # A special token cuts a text before anything else looks at it, so it can stand between pieces.
         self.mark = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                           if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
@@ -131,7 +131,7 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that are not known yet."""
-        if self.held > MEMORY // 2:
+        if self.held > self.memory // 2:
             self.known, self.before, self.held = {}, self.known, 0
         new = self._missing(pieces)
         stems = [self._stem(x) for x in new]
@@ -170,6 +170,7 @@ class Encoder:
 def write_tokens(
     docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, width: int = 4,
     id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, whole: bool = False,
+    memory: int | None = None,
 ) -> DataFrame:
     """Encodes all texts and writes them in ascending id order; returns the manifest.
 
@@ -183,7 +184,8 @@ def write_tokens(
     A task writes under a name of its own attempt and the manifest names the files of the
     attempt that ended well, so lost executors and repeated tasks do no harm. The folder is on
     the shared file system, by default below ``spark.checkpoint.dir``, and mounted where tasks run,
-    since readers map the files into memory.
+    since readers map the files into memory. ``memory`` bounds the bytes that a task spends on words it remembers;
+    fewer cost time, not results.
 
     Null texts count as empty: only the end id. Null ids come first. Rows that repeat an id are
     each written, ordered by a hash of their text, and dealt out by that hash too.
@@ -205,7 +207,7 @@ def write_tokens(
         path = f"{target}/{task.partitionId():08d}-{task.taskAttemptId()}"
         os.makedirs(target, exist_ok=True)
         release_memory()
-        encode = Encoder(tokenizer, dtype, whole)
+        encode = Encoder(tokenizer, dtype, whole, memory)
         end = np.array([end_id], dtype).tobytes()
         offset, n_docs = 0, 0
         with open(f"{path}.tok", "wb") as tok, open(f"{path}.idx", "wb") as idx, open(f"{path}.doc", "wb") as doc:
