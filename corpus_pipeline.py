@@ -16,6 +16,10 @@ from tradewell.llm.common import few, saved
 from tradewell.llm.queries import THRESHOLD, table, vocabulary
 
 
+#: Bytes for remembered words: the Python workers already hold what the earlier stages have left.
+WORD_MEMORY = 48 << 20
+
+
 def without(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
     """``docs`` but those whose ``row`` is among ``rows``; texts are not shuffled while rows are few."""
     rows = rows.select(F.col(row).alias("__gone")).distinct()
@@ -73,7 +77,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids come first, rows of one id one after another.
     """
-    return tokens.read_tokens(tokens.write_tokens(docs, vocabulary(), width=2), width=2)
+    return tokens.read_tokens(tokens.write_tokens(docs, vocabulary(), width=2, memory=WORD_MEMORY), width=2)
 
 
 STAGES = [
