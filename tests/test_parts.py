@@ -53,6 +53,13 @@ def test_new_keys_and_nulls(spark, sized, table):
     assert rows(table.read().filter("a = 'mine'")) == [(9, "Z", "mine", 1.0)]
 
 
+def test_no_parts_have_the_columns_of_some(spark, table):
+    """A merge that rewrites all buckets leaves none, which are still put beside the others."""
+    now = table.manifest()
+    some, none = table._stored(now, list(now.parts)), table._stored(now, [])
+    assert some.schema == none.schema and some.unionByName(none).count() == 200
+
+
 def test_two_writers_of_one_version(spark, table):
     base = table.manifest()
     table.merge(spark.createDataFrame([(1, "X", "first", 1.0)], SCHEMA), base=base)
