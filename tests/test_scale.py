@@ -12,6 +12,7 @@ import __spark_entry__ as registered
 from driver_queries.frames import QUERIES
 from tests.conftest import rows
 from tradewell.operators import enrich, keys, merge, scd2
+from tradewell.operators.sizing import estimated_bytes
 from tradewell.plans import marts
 from tradewell.plans.store import Warehouse
 from tradewell.session import size_shuffles
@@ -117,6 +118,15 @@ def test_shuffle_partitions_follow_the_input(spark):
     size_shuffles(spark, 0)
 
 
+def test_shuffles_are_sized_by_rows_in_memory(spark, monkeypatch):
+    """Files hold columns, compressed; the tasks of a shuffle hold rows."""
+    asked = []
+    monkeypatch.setattr(registered, "size_shuffles", lambda spark_, n: asked.append(n) or size_shuffles(spark_, n))
+    registered.queries()["mart_product_state_asof"](spark, FOLDER)
+    assert asked == [8 * estimated_bytes(registered.table(spark, FOLDER, "lineitem"))]
+    assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == 32 << 20
+
+
 def test_ids_of_many_new_rows(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("bigint").alias("id"))
     out = keys.assign_ids(df, ["k"], "id")
