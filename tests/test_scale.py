@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from driver_queries.frames import QUERIES
+from driver_queries.stored import land_lines
 from tests.conftest import rows
 from tradewell.operators import enrich, keys, merge, scd2
 from tradewell.operators.sizing import estimated_bytes
@@ -118,6 +119,14 @@ def test_shuffle_partitions_follow_the_input(spark):
     size_shuffles(spark, 0)
 
 
+def test_lines_of_a_large_company_are_many_files(spark, tight, tmp_path):
+    lines = spark.range(40000, numPartitions=8).select(
+        F.when(F.col("id") % 100 == 0, "F").otherwise("O").alias("empresa"), F.sha2(F.col("id").cast("string"), 256).alias("texto"))
+    folders = land_lines(lines, "empresa", "texto", str(tmp_path / "lineas"))
+    assert len(spark.read.text(folders["O"]).inputFiles()) > 8
+    assert [spark.read.text(folders[c]).distinct().count() for c in "FO"] == [400, 39600]
+
+
 def test_shuffles_are_sized_by_rows_in_memory(spark, monkeypatch):
     """Files hold columns, compressed; the tasks of a shuffle hold rows."""
     asked = []
