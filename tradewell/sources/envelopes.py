@@ -9,6 +9,7 @@ to the array's depth.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,16 @@ _FOLDS = 6
 _PIECES = "array<struct<fuera:boolean,texto:string,cierra:boolean>>"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as compressed files of the shared folder; a checkpoint would hold them as they are in memory.
+
+    Spark knows the size of files, so that it broadcasts what is small instead of shuffling the text.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tradewell/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Exclusive running sums in the order (bloque, ``order``) of each group.
 
@@ -56,11 +67,12 @@ def fragments(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    stored = stacked.checkpoint()  # the order of a fragment is where it was read
-    last = stored.groupBy(*_FILE).agg(F.max(F.struct(*_PLACE)).alias("__last")).select(
+    kept = stored(stacked, "fragmentos")  # the order of a fragment is where it was read
+    last = kept.groupBy(*_FILE).agg(F.max(F.struct(*_PLACE)).alias("__last")).select(
         F.col("empresa_erp").alias("__e"), F.col(FILE).alias("__f"), "__last")
-    return stored.join(last, (F.col("empresa_erp") == F.col("__e")) & (F.col(FILE) == F.col("__f"))).select(
-        *stored.columns, (F.struct(*_PLACE) == F.col("__last")).alias("ultimo"))
+    last = stored(last, "ultimos")
+    return kept.join(last, (F.col("empresa_erp") == F.col("__e")) & (F.col(FILE) == F.col("__f"))).select(
+        *kept.columns, (F.struct(*_PLACE) == F.col("__last")).alias("ultimo"))
 
 
 def _count(text: Column, char: str) -> Column:
@@ -100,52 +112,66 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*(batch.column(c) for c in [*_FILE, *_PLACE]), pa.array(out, kind)], [*_FILE, *_PLACE, "piezas"])
 
 
-def pieces(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """(empresa_erp, archivo, bloque, orden, sub, fuera, texto, cierra): the text in order, cut at the depth of items.
+def _states(plain: Column, odd: Column, final: Column, inside: bool) -> Column:
+    """What a fragment does to the depth if it begins inside of a text, or if it does not."""
+    visible = F.regexp_replace(F.concat(F.lit('"' if inside else ""), plain), '(?s)"[^"]*("|$)', "")
+    brackets = F.regexp_replace(visible, r"(?s)[^\[\]{]", "")
+    closes = ((odd + int(inside)) % 2 == 0) & (final == "}")
+    folded = brackets
+    for _ in range(_FOLDS):
+        folded = F.regexp_replace(folded, r"\[\]", "")
+    return F.struct(
+        (_count(brackets, "{") + _count(brackets, "[") - _count(brackets, "]") - closes.cast("int")).alias("cambio"),
+        F.length(F.regexp_extract(folded, r"^(\]*)", 1)).alias("baja"), folded.rlike(r"[\[{].*\]").alias("mixto"),
+        closes.alias("cierra"))
+
+
+def pieces(read: DataFrame) -> DataFrame:
+    """(empresa_erp, archivo, bloque, orden, sub, fuera, texto, final, cierra): the fragments in order, cut at the depth of items.
 
     ``fuera`` is text of the envelope itself, with the brackets that open and close what it holds; the rest
-    belongs to items, and ``cierra`` says that an item, or a list's remainder, ends with it.
+    belongs to items, and ``cierra`` says that an item, or a list's remainder, ends with it. A fragment that is
+    not cut has no ``texto`` here: it is the whole of ``read``'s and ``final``. So only numbers are sorted.
     """
-    read = fragments(spark, folders)
     # A backslash takes the next character with it, so what is left of quotation marks opens or closes texts.
     plain = F.regexp_replace("texto", r"(?s)\\.", "")
     odd = _count(plain, '"') % 2
-    texts = running(read.withColumn("impar", odd), _FILE, ["orden"], {"dentro": F.col("impar")})
-    texts = texts.withColumn("dentro", F.col("dentro") % 2 == 1)
-    visible = F.regexp_replace(F.concat(F.when(F.col("dentro"), '"').otherwise(""), plain), '(?s)"[^"]*("|$)', "")
-    brackets = F.regexp_replace(visible, r"(?s)[^\[\]{]", "")
-    closed = (F.col("dentro").cast("int") + F.col("impar")) % 2 == 0
     final = F.when(F.col("ultimo") & (F.trim("texto") == ""), "").otherwise("}")
-    texts = texts.withColumns({"final": final, "corchetes": brackets, "cierra": closed & (final == "}")}).checkpoint()
-    change = (_count(F.col("corchetes"), "{") + _count(F.col("corchetes"), "[") - _count(F.col("corchetes"), "]")
-              - F.col("cierra").cast("int"))
-    deep = running(texts.withColumn("cambio", change), _FILE, ["orden"], {"hondo": F.col("cambio")})
-    folded = F.col("corchetes")
-    for _ in range(_FOLDS):
-        folded = F.regexp_replace(folded, r"\[\]", "")
-    lowest = F.col("hondo") - F.length(F.regexp_extract(folded, r"^(\]*)", 1))
+    numbers = stored(read.select(
+        *_FILE, *_PLACE, odd.alias("impar"), final.alias("final"),
+        *[_states(plain, odd, final, inside).alias(f"si_{inside}") for inside in (False, True)]), "numeros")
+    texts = running(numbers, _FILE, ["orden"], {"dentro": F.col("impar")})
+    inside = F.col("dentro") % 2 == 1
+    texts = stored(texts.select(
+        *_FILE, *_PLACE, "final", inside.alias("dentro"), F.when(inside, F.col("si_True")).otherwise(F.col("si_False")).alias("s")).select(
+        *_FILE, *_PLACE, "final", "dentro", "s.*"), "textos")
+    deep = running(texts, _FILE, ["orden"], {"hondo": F.col("cambio")})
     ends = F.col("hondo") + F.col("cambio")
-    outside = (lowest <= 1) | (ends <= 1) | folded.rlike(r"[\[{].*\]")
-    deep = deep.withColumn("asoma", outside).checkpoint()
-    whole = F.array(F.struct(
-        F.lit(False).alias("fuera"), F.concat("texto", "final").alias("texto"), (F.col("cierra") & (ends == 2)).alias("cierra")))
-    inner = deep.filter(~F.col("asoma")).select(*_FILE, *_PLACE, whole.alias("piezas"))
+    outside = (F.col("hondo") - F.col("baja") <= 1) | (ends <= 1) | F.col("mixto")
+    deep = stored(deep.select(
+        *_FILE, *_PLACE, "final", "dentro", "hondo", (F.col("cierra") & (ends == 2)).alias("cierra"), outside.alias("asoma")), "hondura")
+    inner = deep.filter(~F.col("asoma")).select(
+        *_FILE, *_PLACE, F.lit(0).alias("sub"), F.lit(False).alias("fuera"), F.lit(None).cast("string").alias("texto"), "final", "cierra")
     kinds = f"empresa_erp string, {FILE} string, bloque long, orden long, piezas {_PIECES}"
-    outer = deep.filter("asoma").select(*_FILE, *_PLACE, "texto", "final", "dentro", "hondo").mapInArrow(_pieces, kinds)
-    return inner.unionByName(outer).select(*_FILE, *_PLACE, F.posexplode("piezas").alias("sub", "p")).select(
-        *_FILE, *_PLACE, "sub", "p.*").checkpoint()
+    edges = stored(deep.filter("asoma").select(*_FILE, *_PLACE, "final", "dentro", "hondo"), "bordes")
+    outer = read.join(edges, [*_FILE, *_PLACE]).select(*_FILE, *_PLACE, "texto", "final", "dentro", "hondo").mapInArrow(_pieces, kinds)
+    cut = outer.select(*_FILE, *_PLACE, F.posexplode("piezas").alias("sub", "p")).select(
+        *_FILE, *_PLACE, "sub", "p.fuera", "p.texto", F.lit("").alias("final"), "p.cierra")
+    return stored(inner.unionByName(cut), "piezas")
 
 
 def split_envelopes(spark: SparkSession, folders: dict[str, str], feed: Feed) -> DataFrame:
     """The records that ``feeds.read_envelopes`` reads, whatever the size of a file; ``posicion`` is the same too.
 
-    Files whose brackets do not close, or that state another status than OK, have no records. Only items
-    that are spread over several fragments are shuffled; text outside of the lists must fit a task, and so
-    must each item.
+    Files whose brackets do not close, or that state another status than OK, have no records. The places of items
+    follow from numbers; then the text is shuffled to its place, once, and once more to count the items
+    before it. Text outside of the lists must fit a task, and so must each item.
     """
-    ensure_checkpoint_dir(spark)
-    cut = running(pieces(spark, folders), _FILE, ["orden", "sub"], {
-        "tramo": F.col("fuera"), "segmento": F.col("fuera") | F.col("cierra")}).checkpoint()
+    read = fragments(spark, folders)
+    placed = running(pieces(read), _FILE, ["orden", "sub"], {
+        "tramo": F.col("fuera"), "segmento": F.col("fuera") | F.col("cierra")})
+    by_block = Window.partitionBy(*_FILE, "bloque").orderBy("orden", "sub")
+    cut = stored(placed.withColumn("abre", F.lag(F.col("fuera") | F.col("cierra")).over(by_block)), "tramos")
     around = cut.filter("fuera").groupBy(*_FILE).agg(F.array_sort(F.collect_list(
         F.struct("tramo", *_PLACE, "sub", "texto"))).alias("partes"))
     # With the lists' contents left out the envelope is a small document; one that does not close is null.
@@ -156,25 +182,28 @@ def split_envelopes(spark: SparkSession, folders: dict[str, str], feed: Feed) ->
         stated[0] = stated[0] | c
     names = skeleton.filter(usable & stated[0]).select(*_FILE, F.explode("partes").alias("p")).select(
         *_FILE, (F.col("p.tramo") + 1).alias("tramo"), F.regexp_extract("p.texto", r'"([^"\\]*)"\s*:\s*\[$', 1).alias("lista"))
-    names = names.filter(F.col("lista").isin(*feed.arrays))
+    names = stored(names.filter(F.col("lista").isin(*feed.arrays)), "listas")
 
-    by_block = Window.partitionBy(*_FILE, "bloque").orderBy("orden", "sub")
-    items = cut.withColumn("abre", F.lag(F.col("fuera") | F.col("cierra")).over(by_block)).filter("not fuera")
     alone = F.col("cierra") & F.coalesce(F.col("abre"), F.lit(False))
-    columns = [*_FILE, "tramo", "segmento", *_PLACE, "sub", "texto"]
-    spread = items.filter(~alone).groupBy(*_FILE, "tramo", "segmento").agg(
+    items = cut.filter("not fuera").join(names, [*_FILE, "tramo"]).select(
+        *_FILE, "lista", "tramo", "segmento", *_PLACE, "sub", alone.alias("sola"), "final", F.col("texto").alias("corte"))
+    whole = items.filter("corte IS NULL").join(read.select(*_FILE, *_PLACE, "texto"), [*_FILE, *_PLACE]).withColumn(
+        "texto", F.concat("texto", "final"))
+    items = whole.unionByName(items.filter("corte IS NOT NULL").withColumn("texto", F.col("corte"))).drop("corte", "final")
+    listed = F.from_json(F.concat(F.lit("["), F.regexp_replace("texto", r"^\s*,", ""), F.lit("]")), "array<string>")
+    listed = F.coalesce(listed, F.array().cast("array<string>")).alias("items")
+    items = stored(items, "textos_en_su_sitio")
+    spread = items.filter("not sola").groupBy(*_FILE, "lista", "tramo", "segmento").agg(
         F.array_sort(F.collect_list(F.struct(*_PLACE, "sub", "texto"))).alias("p")).select(
-        *_FILE, "tramo", "segmento", F.col("p")[0]["bloque"].alias("bloque"), F.col("p")[0]["orden"].alias("orden"),
+        *_FILE, "lista", F.col("p")[0]["bloque"].alias("bloque"), F.col("p")[0]["orden"].alias("orden"),
         F.col("p")[0]["sub"].alias("sub"), F.array_join("p.texto", "").alias("texto"))
-    segments = items.filter(alone).select(*columns).unionByName(spread).join(names, [*_FILE, "tramo"])
-    listed = F.from_json(F.concat(F.lit("["), F.regexp_replace("texto", r"^\s*,", ""), F.lit("]")), "array<string>")
-    segments = segments.select(*_FILE, "lista", *_PLACE, "sub", F.coalesce(listed, F.array().cast("array<string>")).alias("items"))
-    segments = segments.filter(F.size("items") > 0).checkpoint()
+    segments = items.filter("sola").select(*spread.columns).unionByName(spread).select(*_FILE, "lista", *_PLACE, "sub", listed)
+    segments = stored(segments.filter(F.size("items") > 0), "segmentos")
     placed = running(segments, [*_FILE, "lista"], ["orden", "sub"], {"antes": F.size("items")})
     rank = {name: i for i, name in enumerate(feed.arrays)}
     order = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     # Of several lists the first one that is not empty counts.
-    first = segments.groupBy(*_FILE).agg(F.min(order[F.col("lista")]).alias("elegida"))
+    first = stored(segments.groupBy(*_FILE).agg(F.min(order[F.col("lista")]).alias("elegida")), "elegidas")
     chosen = placed.join(first, _FILE).filter(order[F.col("lista")] == F.col("elegida"))
     opened = chosen.select(*_FILE, "antes", F.posexplode("items").alias("__n", "__item")).filter(is_record(F.col("__item"))).select(
         *_FILE, (F.col("antes") + F.col("__n")).cast("int").alias(POSITION), F.from_json("__item", feed.record).alias("__r"))
