@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import string
 import zlib
 
 import numpy as np
@@ -492,3 +493,62 @@ def test_encoder_of_odd_texts():
     for text in odd + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(5000)]:
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.batch([text])[0], "<u2").tolist() == want, ascii(text)
+
+
+def test_encoder_looks_up_only_the_pieces_of_a_batch():
+    """What a batch costs does not grow with the words that are remembered."""
+    import time
+
+    encoder = tokens.Encoder(queries.vocabulary(), np.dtype("<u2"))
+    encoder.batch(["some words of a text"])
+    encoder.known.update((str(i), b"") for i in range(1_000_000))
+    began = time.process_time()
+    for _ in range(200):
+        encoder.batch(["some words of a text"])
+    assert time.process_time() - began < 2
+
+
+def test_encoder_learns_a_word_once_for_all_its_capitals_and_marks():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary())
+    encoder, rng = tokens.Encoder(queries.vocabulary(), np.dtype("<u2")), random.Random(3)
+    assert encoder.plain.get_vocab_size(with_added_tokens=False) == tokenizer.get_vocab_size(with_added_tokens=False)
+    texts = ["Thandor THANDOR thandor$$$ Thandor&&& thandor?!, thandor", "<|STARTOFTEXT|>A <|startoftext|>B É\xc0", "A'S, b's$ c_d e-f g\u0338= H\u0331 h\u0331"]
+    letters = "abABéÉß'sS\xa0\x85\t\r\n  12" + string.punctuation
+    for _ in range(5000):
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randint(0, 14))))
+    for text in texts:
+        got = np.frombuffer(encoder.batch([text])[0], "<u2").tolist()
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+    encoder = tokens.Encoder(queries.vocabulary(), np.dtype("<u2"))
+    learnt: list[str] = []
+    for name in ("_learn_words", "_learn_pieces"):
+        def learn(pieces, *rest, own=getattr(encoder, name)):
+            learnt.extend(pieces)
+            return own(pieces, *rest)
+
+        setattr(encoder, name, learn)
+    encoder.batch(texts[:1])
+    assert sorted(learnt) == ["$$$", "&&&", "?!,", "thandor"]
+
+
+def test_workers_give_back_memory_when_a_task_ends(monkeypatch):
+    """Also when nobody reads on, and when the work fails."""
+    from tradewell.llm import common
+
+    calls: list[int] = []
+    monkeypatch.setattr(common, "release_memory", calls.append)
+
+    def work(batches):
+        for x in batches:
+            yield 1 // x
+
+    assert list(common.returning(work)([1, 1])) == [1, 1] and len(calls) == 1
+    begun = common.returning(work)([1, 1])
+    next(begun)
+    begun.close()
+    assert len(calls) == 2
+    with pytest.raises(ZeroDivisionError):
+        list(common.returning(work)([0]))
+    assert len(calls) == 3

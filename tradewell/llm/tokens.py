@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import prepare, release_memory, saved, shared_folder
+from tradewell.llm.common import prepare, release_memory, returning, saved, shared_folder
 
 #: Bytes of text per file.
 FILE_BYTES = 256 << 20
@@ -23,9 +23,11 @@ FILE_BYTES = 256 << 20
 MEMORY, LONGEST = 256 << 20, 64
 #: New words that are encoded at once.
 TOGETHER = 2000
-#: Letters that a tokenizer is asked about, and marks that often stand behind a word.
-LETTERS, TRAILING = "abcdefghijklmnopqrstuvwxyz", tuple(".,;:!?")
+#: Letters that a tokenizer is asked about, and marks that may stand behind a word.
+LETTERS, TRAILING = "abcdefghijklmnopqrstuvwxyz", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _NO_ID = np.iinfo(np.int64).min
+#: Bytes of texts up to U+00FF: A-Z lowered, tabs and line ends as spaces.
+_LOWER = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\r", b"   "))
 
 
 class Encoder:
@@ -38,12 +40,12 @@ class Encoder:
     ``whole`` encodes texts at once, for tokenizers of another kind.
 
     What the tokenizer does to letters is asked of it once: if it lowers case, A-Z are lowered
-    first; if it parts a word from the mark behind it, the two are encoded apart; if it leaves words of
-    a-z as they are, those go to its model without its normalizer and patterns.
+    first; if it parts a word from the marks behind it (asked for each run of marks that occurs), the two are encoded
+    apart; if it leaves words of a-z as they are, those go to its model without its normalizer and patterns.
     """
 
     def __init__(self, path: str, dtype: np.dtype, whole: bool = False, memory: int | None = None):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
@@ -61,11 +63,13 @@ class Encoder:
 
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = parts(LETTERS.upper()) == [LETTERS] and not any(x.isalpha() for x in added)
-        self.trims = all(parts(f"ab{x} ab") == ["ab", x, "ab"] for x in TRAILING)
+        self.parts, self.apart = parts, {"": True}
+        self.added = [x.lower() for x in added]
+        # An added token of letters and marks could reach across the cut between them.
+        self.trims = not any((x.rstrip(TRAILING) or "a").isalpha() for x in added)
         self.plain = None
-        if parts(f"{LETTERS} ab") == [LETTERS, "ab"]:
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = normalizers.Sequence([])
+        if parts(f"{LETTERS} ab") == [LETTERS, "ab"] and not any("".join(x.split()).isalpha() for x in added):
+            self.plain = Tokenizer(self.tokenizer.model)  # the same model: no second vocabulary in memory
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _pack(self, texts: list[str]) -> list[bytes]:
@@ -103,28 +107,39 @@ class Encoder:
             cuts = np.flatnonzero(ids == mark)
             self._between(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
 
+    def _trims(self, marks: str) -> bool:
+        """Whether the tokenizer parts a word from these marks, and these from the word, as it parts the marks alone."""
+        apart = self.apart.get(marks)
+        if apart is None:
+            alone = self.parts(marks)
+            apart = self.trims and self.parts(f"ab{marks} ab") == ["ab", *alone, "ab"]
+            if len(self.apart) < TOGETHER:
+                self.apart[marks] = apart
+        return apart
+
     def _stem(self, piece: str) -> tuple[str, str]:
-        """A word of letters, lowered, and the mark behind it; any other piece as it is."""
-        word, behind = piece, ""
+        """A word of letters, lowered, and the marks behind it; any other piece as it is."""
         if len(piece) > LONGEST:
             return piece, ""
-        # Letters up to U+00FF end in a letter still when they are lowered and composed.
-        if self.trims and piece[-1:] in TRAILING and piece[-2:-1] <= "\xff":
-            word, behind = piece[:-1], piece[-1]
+        word = piece.rstrip(TRAILING)
         if not word.isalpha():
             return piece, ""
+        behind = piece[len(word) :]
+        # Letters up to U+00FF end in a letter still when they are lowered and composed.
+        if behind and (word[-1] > "\xff" or not self._trims(behind)):
+            return piece, ""
         return word.encode().lower().decode() if self.lowers else word, behind
 
     def _hold(self, pieces: Iterable[str]) -> None:
         """Counts what pieces take: two objects and a place in the table for each, and up to four bytes a letter."""
-        known = self.known
-        self.held += sum(240 + 4 * len(x) + len(known[x]) for x in pieces if len(x) <= LONGEST)
+        kept = [x for x in pieces if len(x) <= LONGEST]
+        self.held += 240 * len(kept) + 4 * sum(map(len, kept)) + sum(map(len, map(self.known.__getitem__, kept)))
 
     def _missing(self, pieces: set[str]) -> list[str]:
         """The pieces that neither generation knows; those of the old one move to the new one."""
         known, before = self.known, self.before
-        unknown = pieces - known.keys()
-        again = unknown & before.keys()
+        unknown = pieces.difference(known)  # looks up the pieces; "-" with its keys would go through all that is known
+        again = unknown.intersection(before.keys()) if len(before) < len(unknown) else {x for x in unknown if x in before}
         known.update([(x, before[x]) for x in again])
         self._hold(again)
         return list(unknown - again)
@@ -134,8 +149,9 @@ class Encoder:
         if self.held > self.memory // 2:
             self.known, self.before, self.held = {}, self.known, 0
         new = self._missing(pieces)
-        stems = [self._stem(x) for x in new]
-        need = self._missing({x for pair in stems for x in pair})
+        whole = {x for x in new if x.islower() and x.isascii() and x.isalpha()}
+        cut = [(x, *self._stem(x)) for x in new if x not in whole]
+        need = [*whole, *self._missing({y for _, *pair in cut for y in pair} - whole)]
         words = [x for x in need if x.isalpha()]
         plain = [] if self.plain is None else [x for x in words if x.isascii() and (self.lowers or x.islower())]
         easy = set(plain)
@@ -143,11 +159,19 @@ class Encoder:
         odd += self._learn_words([x for x in words if x not in easy], self.tokenizer)
         self._learn_pieces(odd + [x for x in need if not x.isalpha()])
         known = self.known
-        known.update([(x, known[a] + known[b]) for x, (a, b) in zip(new, stems, strict=True)])
-        self._hold({*need, *new})
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
+        known.update([(x, known[a] + known[b]) for x, a, b in cut])
+        self._hold({x for x, *_ in cut}.union(need))
+
+    def pieces(self, text: str) -> list[str]:
+        """What stands between spaces, tabs and line ends; lowered at once where no letter can be composed."""
+        if self.lowers:
+            try:
+                low = text.encode("latin-1").translate(_LOWER).decode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                if not any(x in low for x in self.added):
+                    return low.split(" ")
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -156,11 +180,11 @@ class Encoder:
             return self._pack(texts)
         out: list[bytes] = []
         parts = [self.pieces(x) for x in texts]
-        every = {x for part in parts for x in part}
+        every = set().union(*parts)
         self.learn(every)
         known = self.known
         for part in parts:
-            out.append(b"".join([known[x] for x in part]))
+            out.append(b"".join(map(known.__getitem__, part)))
         for x in every:
             if len(x) > LONGEST:
                 del known[x]
@@ -202,6 +226,7 @@ def write_tokens(
     rows = rows.withColumn("tie", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     dealt = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
 
+    @returning
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         path = f"{target}/{task.partitionId():08d}-{task.taskAttemptId()}"
@@ -250,6 +275,7 @@ def read_tokens(manifest: DataFrame, width: int = 4, block: int = 2000, with_ids
     dtype = np.dtype(f"<u{width}")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
+    @returning
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
