@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import mix, prepare, texts_of, word_hashes
+from tradewell.llm.common import mix, prepare, returning, texts_of, word_hashes
 
 #: Benchmark items that are searched for in one pass over the documents.
 ITEMS = 20_000
@@ -255,6 +255,7 @@ def find_leaks(
 
 
 def _searcher(shared):
+    @returning
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, table = shared.value
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewell.llm.common import (
-    components, few, mix, prepare, saved, shingle_sets, signed, texts_of, unique_ids,
+    components, few, mix, prepare, returning, saved, shingle_sets, signed, texts_of, unique_ids,
 )
 
 #: Entries of a task's share of the index, and rows of one list before it is dealt out.
@@ -38,6 +38,7 @@ def _facts(texts: DataFrame, words: int, slots: int) -> DataFrame:
     """Per row the size and a 128-bit digest of its set, and per task the sets met per slot of tokens."""
     shift = np.uint64(64 - slots.bit_length() + 1)
 
+    @returning
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(slots, np.int64)
         names = ["node", "n", "d1", "d2", "slot", "sets"]
@@ -75,6 +76,7 @@ def _lists(texts: DataFrame, words: int, percent: int, weight: np.ndarray, bucke
     # A little over 100 / percent, so that linked sets are at most one band apart.
     step = math.log(100 / percent) * 1.001
 
+    @returning
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -142,6 +144,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int, differences: bool =
     right = texts.join(few(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
     joined = left.join(right.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
+    @returning
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import prepare, saved
+from tradewell.llm.common import prepare, returning, saved
 
 #: Labelled rows that the model is fitted on, at most, and tokens that it keeps, at most.
 LABELS = 200_000
@@ -104,6 +104,7 @@ def _count_words(rows: DataFrame, only: set[str] | None) -> DataFrame:
 
     Counted within a task first, so a frequent word is one row per task.
     """
+    @returning
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -186,6 +187,7 @@ def fit(
     # K from the clean labelled texts: -log P(best < s) is K n exp(-s), summed over all of them.
     model = context.broadcast(raw)
 
+    @returning
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = []
@@ -204,6 +206,7 @@ def fit(
     spread = ((over or 0) + 1) / ((room or 0) + 1) * math.exp(least)
     model = context.broadcast(Model(weights, other, spread, ((0.0, 0.0),)))
 
+    @returning
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [int(min(1000, 10 * model.value.evidence(words_of(t))[0])) for t in batch.column("text").to_pylist()]
@@ -228,6 +231,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     passage = pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64()), ("tail", pa.float64())])
     added = ["__score", "__predicted", "__passages"]
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, found = [], []
