@@ -18,6 +18,8 @@ from tradewell.llm.queries import THRESHOLD, table, vocabulary
 
 #: Bytes for remembered words: the Python workers already hold what the earlier stages have left.
 WORD_MEMORY = 48 << 20
+#: Bytes of text per token file: a task sorts its file's rows in the JVM, beside what earlier stages have left there.
+TOKEN_FILE_BYTES = 32 << 20
 
 
 def without(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
@@ -77,7 +79,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids come first, rows of one id one after another.
     """
-    return tokens.read_tokens(tokens.write_tokens(docs, vocabulary(), width=2, memory=WORD_MEMORY), width=2)
+    written = tokens.write_tokens(docs, vocabulary(), width=2, file_bytes=TOKEN_FILE_BYTES, memory=WORD_MEMORY)
+    return tokens.read_tokens(written, width=2)
 
 
 STAGES = [

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
 from tradewell.llm import chat, decontaminate, pieces, resampling, secrets, suffix_index, tokens, toxicity, urls
+from tradewell.llm.common import prepare
 from tradewell.llm.queries import URL_RULES, vocabulary
 
 FOLDER = "/root/testdata/sf0.001"
@@ -90,3 +92,32 @@ def test_stages_on_odd_tables(spark, odd, place):
         assert out.count() == len({c for _, c in brute.similar(kept).values()})
     empty = stage(spark, odd.limit(0), FOLDER)
     assert empty.count() == 0 and (last or empty.columns == odd.columns)
+
+
+def test_token_files_of_the_pipeline_are_small(spark, monkeypatch):
+    """A task sorts the rows of one file: the pipeline's files are bounded, and their size changes no row."""
+    docs = spark.createDataFrame([(i, f"text {i} " * 200) for i in range(64)], "doc_id long, text string")
+    files = []
+    written = tokens.write_tokens
+
+    def write(*args, **options):
+        files.append(written(*args, **options))
+        return files[-1]
+
+    monkeypatch.setattr(tokens, "write_tokens", write)
+    whole = corpus_pipeline.write_ids(spark, docs, FOLDER).collect()
+    monkeypatch.setattr(corpus_pipeline, "TOKEN_FILE_BYTES", 4000)
+    assert sorted(corpus_pipeline.write_ids(spark, docs, FOLDER).collect()) == sorted(whole)
+    assert files[0].count() <= spark.sparkContext.defaultParallelism < files[1].count()
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    """A batch is held several times by the executor's JVM and by its Python worker."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes], "n": [batch.num_rows]})
+
+    docs = prepare(spark).range(0, 3000, 1, 1).select("id", F.lpad(F.col("id").cast("string"), 8192, "x").alias("text"))
+    made = docs.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r.n for r in made) == 3000
+    assert max(r.size for r in made) < 3 << 20

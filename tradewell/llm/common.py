@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on: skew splitting, small Arrow batches."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     ensure_checkpoint_dir(spark)
     return spark
 
