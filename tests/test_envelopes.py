@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driver_queries.stored import land_document
+from driver_queries.stored import land_document, land_documents
 from tests.conftest import rows
 from tradewell.sources import envelopes, feeds
 
@@ -95,6 +95,32 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_only_chunks_of_the_text_are_kept(spark, tmp_path, monkeypatch):
+    """Steps kept a row for each brace of the files, most of them with its text."""
+    document = json.dumps({"status": "OK", "results": [{"a": str(i), "b": [{"c": "x" * (i % 50)}]} for i in range(20_000)]})
+    folders = land(tmp_path, {"UNO": [document]})
+    kept, stored = {}, envelopes.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(envelopes, "stored", counted)
+    assert envelopes.split_envelopes(spark, folders, FEED).count() == 20_000
+    assert 0 < sum(kept.values()) < 2_000
+
+
+def test_documents_are_landed_at_once(spark, tmp_path):
+    lines = spark.range(4000, numPartitions=5).select(
+        F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("empresa"), F.format_string(',{"a":"%d"}', "id").alias("value"))
+    folders = land_documents(lines, ["A", "B", "C"], '{"status":"OK","results":[null', "]}", str(tmp_path / "sobres"))
+    assert [len(spark.read.text(f).inputFiles()) for f in folders.values()] == [1, 1, 1]
+    for c, want in (("A", [i for i in range(4000) if i % 3 == 0]), ("B", [i for i in range(4000) if i % 3]), ("C", [])):
+        (file,) = (tmp_path / "sobres" / f"empresa={c}").glob("part*")
+        assert sorted(int(r["a"]) for r in json.loads(file.read_text())["results"][1:]) == want
+
+
 def test_no_files(spark, tmp_path):
     assert envelopes.split_envelopes(spark, {"NADA": str(tmp_path / "nada")}, FEED).count() == 0
 
