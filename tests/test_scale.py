@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,26 @@ def test_lines_of_a_large_company_are_many_files(spark, tight, tmp_path):
     assert [spark.read.text(folders[c]).distinct().count() for c in "FO"] == [400, 39600]
 
 
+def test_landed_lines_are_compressed_and_not_shuffled(spark, tmp_path):
+    lines = spark.range(30000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, "F").otherwise("P").alias("empresa"), F.format_string('{"NUMFACTURA":"%d","CANT":"1.00"}', "id").alias("texto"))
+    folders = land_lines(lines, "empresa", "texto", str(tmp_path / "lineas"))
+    files = [p for p in (tmp_path / "lineas").rglob("part-*")]
+    assert files and sum(p.stat().st_size for p in files) * 3 < 30000 * 35
+    assert [spark.read.text(folders[c]).distinct().count() for c in "FP"] == [10000, 20000]
+    assert len(files) <= 8  # two companies in each of four tasks
+
+
+def test_rows_resolved_together_are_stored_as_columns(spark, tight, tmp_path):
+    """A checkpoint holds rows as they are in memory."""
+    fact = spark.range(5000).select("id", *[(F.col("id") % 7).cast("string").alias(c) for c in "abc"], F.repeat(F.lit("x"), 400).alias("texto"))
+    dims = [enrich.Dimension(spark.range(7).select(F.col("id").cast("string").alias("k"), (F.col("id") + 1).alias("v")), {c: "k"}, "v", f"{c}_fk") for c in "abc"]
+    out = enrich.enrich(fact, dims)
+    assert "Scan ExistingRDD" not in initial(out) and len(out.filter("a_fk = id % 7 + 1 AND c_fk = a_fk AND length(texto) = 400").collect()) == 5000
+    (folder,) = {re.sub(r"^file:(.*)/[^/]*$", r"\1", f) for f in out.inputFiles()}
+    assert sum(p.stat().st_size for p in Path(folder).glob("*.parquet")) < 5000 * 100
+
+
 def test_shuffles_are_sized_by_rows_in_memory(spark, monkeypatch):
     """Files hold columns, compressed; the tasks of a shuffle hold rows."""
     asked = []
