@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tradewell.llm import (
-    chat, decontaminate, embeddings, jaccard, mixing, queries, secrets, suffix_index, tokens, toxicity, urls,
+    chat, common, decontaminate, embeddings, jaccard, mixing, queries, secrets, suffix_index, tokens, toxicity, urls,
 )
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -100,6 +100,26 @@ def test_groups_of_leaders_grow_with_the_input(docs, texts, monkeypatch):
     assert dealt[0] > 10
 
 
+def test_counts_of_slots_are_arrays_not_rows(spark):
+    rng, slots = random.Random(8), 1 << 18
+    found = {i: " ".join(words(rng, 100, 10**6)) for i in range(300)}
+    df = spark.createDataFrame(list(found.items()), "node long, text string").repartition(3)
+    facts = jaccard._facts(df, 5, slots)
+    assert facts.filter("part is null").count() == 300 and facts.count() <= 300 + 3 * slots // jaccard.PART
+    want = np.zeros(slots, np.int64)
+    for tokens_ in common.shingle_sets([t.encode() for t in found.values()], 5):
+        np.add.at(want, (tokens_ >> np.uint64(46)).astype(np.int64), 1)
+    assert want.sum() == 300 * 96 and (jaccard._slot_weights(facts, slots) == want).all()
+
+
+@pytest.mark.parametrize("most", [1, 60, 1000])
+def test_representatives_are_found_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+    found = {i: f"one text of {i % 90 if i < 100 else i} words or some more" for i in range(100)} | {100: "", 101: None}
+    df = spark.createDataFrame([(k, t, "", "", 0) for k, t in found.items()], DOC)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.similar_documents(df).collect()} == brute.similar(found)
+
+
 @pytest.mark.parametrize("rounds", [9, 10])
 def test_words_built_by_doubling_are_apart(spark, rounds):
     a, b = "ab", "ba"

@@ -229,6 +229,14 @@ def word_hashes(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.array(counts, np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; for numbers a sort is several times faster than ``np.unique``, which hashes them."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
 def shingle_sets(texts: Iterable[bytes], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; shorter texts are one shingle, empty ones none."""
     words, counts = word_hashes(texts)
@@ -241,7 +249,7 @@ def shingle_sets(texts: Iterable[bytes], size: int) -> Iterator[np.ndarray]:
     at = 0
     for count in counts.tolist():
         if count >= size:
-            yield np.unique(sums[at : at + count - size + 1])
+            yield distinct(sums[at : at + count - size + 1])
         elif count:
             yield mix((words[at : at + count] * factors[:count]).sum(keepdims=True) + np.uint64(count))
         else:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewell.llm.common import (
-    components, few, mix, prepare, returning, saved, shingle_sets, signed, texts_of, unique_ids,
+    BROADCAST_ROWS, components, few, mix, prepare, returning, saved, shingle_sets, signed, texts_of, unique_ids,
 )
 
 #: Entries of a task's share of the index, and rows of one list before it is dealt out.
@@ -21,6 +21,8 @@ BUCKET, LIST = 1_000_000, 200_000
 BLOCK_SETS = 1024
 #: Sets, and bytes of differences, that a task's groups of leaders hold on average; never fewer groups than ``GROUPS``.
 GROUP_SETS, GROUP_BYTES, GROUPS = 2048, 8 << 20, 256
+#: Slots of tokens whose counts are kept in one array.
+PART = 4096
 ENTRY = np.dtype([("token", "u8"), ("node", "i8"), ("size", "i4"), ("pos", "i4")])
 
 
@@ -35,33 +37,58 @@ def _shards(weight: np.ndarray, mean: float) -> np.ndarray:
 
 
 def _facts(texts: DataFrame, words: int, slots: int) -> DataFrame:
-    """Per row the size and a 128-bit digest of its set, and per task the sets met per slot of tokens."""
+    """Per row the size and a 128-bit digest of its set, and per task the sets met per slot of tokens.
+
+    Those are arrays for ``PART`` slots each, compressed: there may be as many slots as rows, and a row for each slot
+    and task would grow with the square of the input.
+    """
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     @returning
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(slots, np.int64)
-        names = ["node", "n", "d1", "d2", "slot", "sets"]
+        names = ["node", "n", "d1", "d2", "part", "sets"]
         for batch in batches:
             out = np.zeros((len(batch), 3), np.int64)
-            for i, tokens in enumerate(shingle_sets(texts_of(batch.column("text")), words)):
+            sets = [*shingle_sets(texts_of(batch.column("text")), words)]
+            out[:, 0] = [len(tokens) for tokens in sets]
+            tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+            some, start = out[:, 0] > 0, np.cumsum(out[:, 0]) - out[:, 0]
+            if len(tokens):
                 # Order does not matter: a set is known by two sums over its tokens.
-                sums = np.array([mix(tokens).sum(), mix(tokens ^ np.uint64(0x5DEECE66D)).sum()], np.uint64)
-                out[i] = len(tokens), *signed(sums)
-                weight += np.bincount((tokens >> shift).astype(np.int64), minlength=slots) if len(tokens) > slots else 0
-                if len(tokens) <= slots:
-                    np.add.at(weight, (tokens >> shift).astype(np.int64), 1)
-            none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), *(pa.array(out[:, k]) for k in range(3)), none, none], names)
-        slot = np.flatnonzero(weight)
-        for at in range(0, len(slot), 50_000):
-            part = slot[at : at + 50_000]
-            none = pa.nulls(len(part), pa.int64())
+                for k, salt in ((1, np.uint64(0)), (2, np.uint64(0x5DEECE66D))):
+                    out[some, k] = signed(np.add.reduceat(mix(tokens ^ salt), start[some]))
+                slot = (tokens >> shift).astype(np.int64)
+                if len(slot) > slots:
+                    weight += np.bincount(slot, minlength=slots)
+                else:
+                    np.add.at(weight, slot, 1)
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(part), pa.array(weight[part])], names)
-
-    return texts.mapInArrow(scan, "node long, n long, d1 long, d2 long, slot long, sets long")
+                [batch.column("node"), *(pa.array(out[:, k]) for k in range(3)), pa.nulls(len(batch), pa.int64()),
+                 pa.nulls(len(batch), pa.binary())], names)
+        for at in range(0, slots, PART * 256):
+            some = [part for part in range(at // PART, min(slots, at + PART * 256) // PART) if weight[part * PART :][:PART].any()]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int64()), pa.array(
+                [pa.compress(weight[part * PART :][:PART].tobytes(), "zstd", asbytes=True) for part in some], pa.binary())], names)
+
+    return texts.mapInArrow(scan, "node long, n long, d1 long, d2 long, part long, sets binary")
+
+
+def _slot_weights(facts: DataFrame, slots: int) -> np.ndarray:
+    """How many sets all tasks have met, by slot."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(PART, np.int64)
+        for packed in pdf["sets"]:
+            total += np.frombuffer(pa.decompress(packed, PART * 8, "zstd", asbytes=True), np.int64)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sets": [total.tobytes()]})
+
+    table = facts.filter("part is not null").select("part", "sets").groupBy("part").applyInPandas(
+        add, "part long, sets binary").toArrow()
+    weight = np.zeros(slots, np.int64)
+    for part, sets in zip(table["part"].to_pylist(), table["sets"].to_pylist(), strict=True):
+        weight[part * PART :][:PART] = np.frombuffer(sets, np.int64)
+    return weight
 
 
 def _lists(texts: DataFrame, words: int, percent: int, weight: np.ndarray, buckets: int) -> DataFrame:
@@ -139,7 +166,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int, differences: bool =
     intersection is at least half of b. Only texts that occur in a pair are shuffled. The join on ``b`` puts all partners of a set
     one after another, so its shingles are computed once per batch.
     """
-    pairs = pairs.select("a", "b")
+    pairs = saved(pairs.select("a", "b"), "set-asked")  # read several times
     left = texts.join(few(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("ta"))
     right = texts.join(few(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
     joined = left.join(right.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -246,6 +273,19 @@ def _apart(pairs: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(F.col(f"__{a}") != F.col(f"__{b}")).drop(f"__{a}", f"__{b}")
 
 
+def _representatives(texts: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts of the classes' representatives; whichever is fewer, they or the others, meets the texts.
+
+    So all texts are shuffled only where both are too many to be broadcast.
+    """
+    own = classes.select(F.col("rep").alias("node"))
+    if own.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        others = saved(sets.select("node").join(own, "node", "left_anti"), "set-others")
+        if others.count() <= BROADCAST_ROWS:
+            return texts.join(F.broadcast(others), "node", "left_anti")
+    return texts.join(few(own, BROADCAST_ROWS), "node", "left_semi")
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -278,14 +318,12 @@ def similar_documents(
     rows = docs.count()
     slots = 1 << min(22, max(18, (max(rows, 1) - 1).bit_length()))
     facts = saved(_facts(texts, words, slots), "set-facts")
-    sets = facts.filter("slot is null").select("node", "n", "d1", "d2")
+    sets = facts.filter("part is null").select("node", "n", "d1", "d2")
     classes = saved(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("rep")), "set-classes")
 
-    table = facts.filter("slot is not null").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()
-    weight = np.zeros(slots, np.int64)
-    weight[table["slot"].to_numpy()] = table["sets"].to_numpy()
+    weight = _slot_weights(facts, slots)
     total = classes.agg(F.sum(F.expr(f"n - ceil(n * {percent} / 100) + 1"))).first()[0] or 0
-    reps = texts.join(few(classes.select(F.col("rep").alias("node"))), "node", "left_semi")
+    reps = _representatives(texts, sets, classes)
     index = saved(_lists(reps, words, percent, weight, max(1, math.ceil(total / BUCKET * 4))), "set-index")
 
     def enough(o: Column, sizes: Column) -> Column:
